@@ -87,9 +87,10 @@ def orphans(
 def join_quality(
     left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str] | None = None
 ) -> DataFrame:
-    """Coverage, explosion and missing ratios of a join, from key counts only.
+    """Coverage, explosion and missing ratios, one row per join type, from key counts only.
 
-    The join itself is never produced: both sides shrink to one row per key first.
+    The join itself is never produced: both sides shrink to one row per key first. A side's
+    null ratio is the share of output rows in which its columns are empty.
     """
     right_keys = list(right_keys or left_keys)
     names = [f"_k{i}" for i in range(len(left_keys))]
@@ -113,21 +114,29 @@ def join_quality(
     def ratio(a: Column, b: Column) -> Column:
         return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
-    c = {n: F.col(n) for n in totals.columns}
-    left_only, right_only = c["left_rows"] - c["left_matched"], c["right_rows"] - c["right_matched"]
+    left_only = F.col("left_rows") - F.col("left_matched")
+    right_only = F.col("right_rows") - F.col("right_matched")
+    extra = {"inner": (0, 0), "left": (left_only, 0), "right": (0, right_only), "full": (left_only, right_only)}
+
+    def outcome(how: str) -> Column:
+        alone_left, alone_right = (F.lit(0) if isinstance(e, int) else e for e in extra[how])
+        output = F.col("inner_rows") + alone_left + alone_right
+        return F.struct(
+            F.lit(how).alias("join_type"),
+            output.alias("output_rows"),
+            ratio(output, F.greatest("left_rows", "right_rows", F.lit(1))).alias("explosion"),
+            ratio(alone_right, output).alias("left_null_ratio"),
+            ratio(alone_left, output).alias("right_null_ratio"),
+        )
+
     return totals.select(
-        *totals.columns,
-        (c["inner_rows"] + left_only).alias("left_join_rows"),
-        (c["inner_rows"] + right_only).alias("right_join_rows"),
-        (c["inner_rows"] + left_only + right_only).alias("full_join_rows"),
-        ratio(c["left_matched"], c["left_rows"]).alias("left_coverage"),
-        ratio(c["right_matched"], c["right_rows"]).alias("right_coverage"),
-        ratio(c["inner_rows"], F.greatest(c["left_rows"], c["right_rows"])).alias("explosion"),
-        ratio(left_only, c["left_rows"]).alias("left_missing"),
-        ratio(right_only, c["right_rows"]).alias("right_missing"),
-        ratio(left_only, c["inner_rows"] + left_only).alias("left_join_null_ratio"),
-        ratio(right_only, c["inner_rows"] + right_only).alias("right_join_null_ratio"),
-        ratio(left_only + right_only, c["inner_rows"] + left_only + right_only).alias("full_join_null_ratio"),
+        "left_rows",
+        "right_rows",
+        ratio(F.col("left_matched"), F.col("left_rows")).alias("left_coverage"),
+        ratio(F.col("right_matched"), F.col("right_rows")).alias("right_coverage"),
+        ratio(left_only, F.col("left_rows")).alias("left_missing"),
+        ratio(right_only, F.col("right_rows")).alias("right_missing"),
+        F.inline(F.array(*[outcome(how) for how in extra])),
     )
 
 

@@ -26,19 +26,20 @@ def _axis(df: DataFrame, name: str) -> Column:
     return col.cast("double")
 
 
-def with_slice(df: DataFrame, axis: str, slices: int = SLICES, name: str = "_slice") -> DataFrame:
-    """Number of quantile cuts below the row's place on the order axis; missing values get 0.
-
-    The cuts come from one scalar subquery over the single axis column.
-    """
-    number = _axis(df, axis)
+def quantile_cuts(df: DataFrame, axis: str, slices: int = SLICES) -> Column:
+    """Cut points of the axis as one scalar subquery over that single column."""
     points = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = df.agg(F.percentile_approx(number, points, 10_000).alias("cuts")).scalar()
-    below = F.size(F.filter(F.coalesce(cuts, F.array().cast("array<double>")), lambda c: c < F.col("_axis")))
+    return df.agg(F.percentile_approx(_axis(df, axis), points, 10_000).alias("cuts")).scalar()
+
+
+def with_slice(df: DataFrame, axis: str, slices: int = SLICES, cuts: Column | None = None) -> DataFrame:
+    """Number of quantile cuts below the row's place on the order axis; missing values get 0."""
+    cuts = quantile_cuts(df, axis, slices) if cuts is None else cuts
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_axis")))
     return (
-        df.withColumn("_axis", number)
-        .withColumn(name, F.when(F.col("_axis").isNull(), F.lit(0)).otherwise(below))
-        .drop("_axis")
+        df.withColumns({"_axis": _axis(df, axis), "_cuts": F.coalesce(cuts, F.array().cast("array<double>"))})
+        .withColumn("_slice", F.when(F.col("_axis").isNull(), F.lit(0)).otherwise(below))
+        .drop("_axis", "_cuts")
     )
 
 
@@ -85,6 +86,7 @@ def running_before(
     name: str,
     slices: int = SLICES,
     include_current: bool = False,
+    cuts: Column | None = None,
 ) -> DataFrame:
     """Running ``max``/``min``/``sum``/``last`` of ``value`` over the earlier rows of the group.
 
@@ -92,7 +94,7 @@ def running_before(
     """
     columns = df.columns
     cut = (
-        with_slice(df, order[0].lstrip("-"), slices)
+        with_slice(df, order[0].lstrip("-"), slices, cuts)
         .withColumn("_group", _group(keys))
         .withColumn("_value", value)
     )

@@ -11,6 +11,8 @@ MODULES = (
     "reading",
     "shaping",
     "writing",
+    "joining",
+    "grouping",
 )
 
 
