@@ -13,6 +13,8 @@ MODULES = (
     "writing",
     "joining",
     "grouping",
+    "scalars",
+    "searching",
 )
 
 
