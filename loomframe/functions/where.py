@@ -204,10 +204,44 @@ def any_of(parts: Sequence[Column]) -> Column:
 
 
 def match(c: Column, query: str, max_gaps: int = -1, ordered: bool = False) -> Column:
-    """Intervals that hold the query's terms."""
+    """Intervals that hold the query's terms, found in one pass over the words.
+
+    Each interval is the shortest one that ends at its last word.
+    """
     terms = _terms(query)
-    parts = [word(c, t) for t in terms]
-    return parts[0] if len(parts) == 1 else all_of(parts, max_gaps, ordered)
+    if len(terms) == 1:
+        return word(c, terms[0])
+    if len(set(terms)) < len(terms):
+        return all_of([word(c, t) for t in terms], max_gaps, ordered)
+    known = F.array(*[F.lit(t) for t in terms])
+    hits = F.filter(
+        F.transform(
+            tokens(c), lambda t, i: F.struct(i.alias("i"), F.array_position(known, t).cast("int").alias("k"))
+        ),
+        lambda h: h["k"] > 0,
+    )
+    names = [f"b{n}" for n in range(1, len(terms) + 1)]
+    nothing = F.lit(None).cast("int")
+    start = F.struct(*[nothing.alias(n) for n in names], F.array().cast(_INTERVALS).alias("out"))
+
+    def step(state: Column, hit: Column) -> Column:
+        # Ordered: b_k is the latest start of a run of the first k terms. Unordered: the last
+        # place of term k.
+        marks = []
+        for n, name in enumerate(names, 1):
+            mark = hit["i"] if n == 1 or not ordered else state[names[n - 2]]
+            marks.append(F.when(hit["k"] == n, mark).otherwise(state[name]))
+        if ordered:
+            first, done = marks[-1], (hit["k"] == len(terms)) & marks[-1].isNotNull()
+        else:
+            first = F.least(*marks)
+            done = F.array_position(F.array(*[m.isNull() for m in marks]), True) == 0
+        close = _within(hit["i"] - first + 1 - len(terms), max_gaps)
+        found = F.struct(first.alias("s"), hit["i"].alias("e"), F.lit(len(terms)).alias("w"))
+        out = F.when(done & close, F.concat(state["out"], F.array(found))).otherwise(state["out"])
+        return F.struct(*[m.alias(n) for m, n in zip(marks, names)], out.cast(_INTERVALS).alias("out"))
+
+    return F.aggregate(hits, start, step, lambda s: s["out"])
 
 
 def interval(found: Column) -> Column:
