@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,67 +61,94 @@ def strict_cast(c: Column, kind: str) -> Column:
     return c.cast(SPARK_TYPES[kind])
 
 
-def _number_text(c: Column) -> tuple[Column, Column]:
-    """(bare digits and separators, negative?)"""
-    raw = strip(c)
-    bracketed = raw.rlike(r"^\(.*\)$")
-    body = F.when(bracketed, F.regexp_replace(raw, r"^\(\s*|\s*\)$", "")).otherwise(raw)
-    body = F.regexp_replace(body, r"\$", "")
-    body = F.regexp_replace(body, r"^[A-Za-z]{1,5}\s+|\s+[A-Za-z]{1,5}$", "")
-    body = strip(F.regexp_replace(body, "%$", ""))
-    minus = body.startswith("-")
-    body = F.regexp_replace(F.regexp_replace(body, r"^[+-]", ""), r"[\s_]", "")
-    return F.nullif(body, F.lit("")), bracketed | minus
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name an expression once inside a larger one, so that it is evaluated once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _with_number(c: Column, finish: Callable[[Column, Column], Column]) -> Column:
+    """Hand (bare digits and separators, negative?) to ``finish``."""
+
+    def bare(raw: Column) -> Column:
+        bracketed = raw.rlike(r"^\(.*\)$")
+        body = F.when(bracketed, F.regexp_replace(raw, r"^\(\s*|\s*\)$", "")).otherwise(raw)
+        body = F.regexp_replace(F.replace(body, F.lit("$"), F.lit("")), r"^[A-Za-z]{1,5}\s+|\s+[A-Za-z]{1,5}$", "")
+        return F.struct(strip(F.regexp_replace(body, "%$", "")).alias("b"), bracketed.alias("n"))
+
+    def signed(t: Column) -> Column:
+        body = F.regexp_replace(t["b"], r"^[+-]|[\s_]", "")
+        return F.struct(F.nullif(body, F.lit("")).alias("b"), (t["n"] | t["b"].startswith("-")).alias("n"))
+
+    # Text without a digit is no number: one cheap test spares the rest.
+    given = F.when(text(c).rlike(r"\d"), text(c))
+    return let(strip(given), lambda raw: let(let(bare(raw), signed), lambda t: finish(t["b"], t["n"])))
 
 
 def _canonical_number(body: Column) -> Column:
     """Settle which separator is the decimal point."""
     comma, dot = body.contains(","), body.contains(".")
-    no_comma = F.regexp_replace(body, ",", "")
-    no_dot = F.regexp_replace(body, r"\.", "")
+    no_comma = F.replace(body, F.lit(","), F.lit(""))
+    no_dot = F.replace(body, F.lit("."), F.lit(""))
     return (
-        F.when(comma & dot & body.rlike(r"\.[^.]*,[^.]*$"), F.regexp_replace(no_dot, ",", "."))
-        .when(comma & ~dot & body.rlike(r"^\d+,\d{1,2}$"), F.regexp_replace(body, ",", "."))
+        F.when(~comma & ~body.rlike(r"\..*\."), body)
+        .when(comma & dot & body.rlike(r"\.[^.]*,[^.]*$"), F.replace(no_dot, F.lit(","), F.lit(".")))
+        .when(comma & ~dot & body.rlike(r"^\d+,\d{1,2}$"), F.replace(body, F.lit(","), F.lit(".")))
         .when(comma, no_comma)
-        .when(body.rlike(r"\..*\.") & body.rlike(r"\.\d{3}$"), no_dot)
+        .when(body.rlike(r"\.\d{3}$"), no_dot)
         .otherwise(body)
     )
 
 
+def _decimal(body: Column, negative: Column) -> Column:
+    def value(plain: Column) -> Column:
+        number = F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain.try_cast("double"))
+        return F.when(negative, -number).otherwise(number)
+
+    return let(_canonical_number(body), value)
+
+
+def _integer(body: Column, negative: Column) -> Column:
+    def value(plain: Column) -> Column:
+        number = F.when(plain.rlike(r"^\d+$"), plain.try_cast("bigint"))
+        return F.when(negative, F.negate(number)).otherwise(number)
+
+    return let(_canonical_number(body), value)
+
+
 def parse_decimal(c: Column) -> Column:
     """Number in US or European writing, with currency, percent, sign or brackets."""
-    body, negative = _number_text(c)
-    plain = _canonical_number(body)
-    value = F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain.try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+    return _with_number(c, _decimal)
 
 
 def parse_integer(c: Column) -> Column:
-    body, negative = _number_text(c)
-    plain = _canonical_number(body)
-    value = F.when(plain.rlike(r"^\d+$"), plain.try_cast("bigint"))
-    return F.when(negative, F.negate(value)).otherwise(value)
+    return _with_number(c, _integer)
 
 
 def parse_number(c: Column) -> Column:
     """struct(value, is_ambiguous, alternative); "1.234" may also mean 1234."""
-    body, negative = _number_text(c)
-    value = parse_decimal(c)
-    unclear = value.isNotNull() & body.rlike(r"^\d+\.\d{3}$")
-    joined = F.regexp_replace(body, r"\.", "").try_cast("double")
-    other = F.when(unclear, F.when(negative, -joined).otherwise(joined))
-    return F.struct(
-        value.alias("value"), F.coalesce(unclear, F.lit(False)).alias("is_ambiguous"), other.alias("alternative")
-    )
+
+    def finish(body: Column, negative: Column) -> Column:
+        unclear = F.coalesce(body.rlike(r"^\d+\.\d{3}$"), F.lit(False))
+        joined = F.replace(body, F.lit("."), F.lit("")).try_cast("double")
+        other = F.when(unclear, F.when(negative, -joined).otherwise(joined))
+        return F.struct(_decimal(body, negative).alias("value"), unclear.alias("is_ambiguous"), other.alias("alternative"))
+
+    return _with_number(c, finish)
 
 
-_CLOCK = r"(?:[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?)?"
-_ZONE = r"\s*(Z|UTC|GMT|[+-]\d{2}:?\d{2})?"
-_YEAR_FIRST = rf"(?i)^(\d{{4}})([-/.])(\d{{1,2}})\2(\d{{1,2}}){_CLOCK}{_ZONE}$"
+_YEAR_FIRST = (
+    r"(?i)^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?)?"
+    r"\s*(Z|UTC|GMT|[+-]\d{2}:?\d{2})?$"
+)
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 _YEAR_LAST = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$"
 
 
+def _groups(raw: Column, pattern: str, wanted: Sequence[int]) -> Column:
+    """Capture groups of a full match as an array, from a single match."""
+    return F.split(F.regexp_replace(raw, pattern, ",".join(f"${i}" for i in wanted)), ",", -1)
+
+
 def _day(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
 
@@ -130,41 +159,43 @@ def parse_datetime(c: Column, allow_ambiguous: bool = True) -> Column:
     When month and day could be swapped the month comes first and the other reading is kept
     as the alternative.
     """
-    raw = strip(c)
-
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(raw, pattern, i)
-
-    def clock(i: int) -> Column:
-        return F.lpad(F.coalesce(F.nullif(part(_YEAR_FIRST, i), F.lit("")), F.lit("0")), 2, "0")
-
-    zone = F.upper(part(_YEAR_FIRST, 9))
-    offset = F.when(zone.rlike(r"^[+-]"), F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})$", "$1:$2")).otherwise("Z")
-    year_first = F.concat(
-        _day(part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 3), part(_YEAR_FIRST, 4)),
-        F.lit(" "),
-        F.concat_ws(":", clock(5), clock(6), clock(7)),
-        F.lit("."),
-        F.rpad(part(_YEAR_FIRST, 8), 6, "0"),
-        offset,
-    )
-    compact = _day(part(_COMPACT, 1), part(_COMPACT, 2), part(_COMPACT, 3))
-    first, second, year = part(_YEAR_LAST, 1), part(_YEAR_LAST, 3), part(_YEAR_LAST, 4)
-    month_first = _day(year, first, second).try_cast("timestamp")
-    day_first = _day(year, second, first).try_cast("timestamp")
-    is_last = raw.rlike(_YEAR_LAST)
-    n_first, n_second = first.try_cast("int"), second.try_cast("int")
-    unclear = is_last & (n_first <= 12) & (n_second <= 12)
-    guess = F.when(n_first > 12, day_first).when(n_second > 12, month_first)
-    if allow_ambiguous:
-        guess = guess.otherwise(month_first)
-    value = (
-        F.when(raw.rlike(_YEAR_FIRST), year_first.try_cast("timestamp"))
-        .when(raw.rlike(_COMPACT), compact.try_cast("timestamp"))
-        .when(is_last, guess)
-    )
-    flag = F.coalesce(unclear & value.isNotNull(), F.lit(False))
-    return F.struct(value.alias("value"), flag.alias("is_ambiguous"), F.when(flag, day_first).alias("alternative"))
+
+    def result(value: Column, unclear: Column | None = None, other: Column | None = None) -> Column:
+        return F.struct(
+            value.alias("value"),
+            (F.lit(False) if unclear is None else unclear).alias("is_ambiguous"),
+            (F.lit(None).cast("timestamp") if other is None else other).alias("alternative"),
+        )
+
+    def year_first(p: Column) -> Column:
+        def clock(i: int) -> Column:
+            return F.lpad(F.coalesce(F.nullif(p[i], F.lit("")), F.lit("0")), 2, "0")
+
+        zone = F.when(p[7].rlike(r"^[+-]"), F.regexp_replace(p[7], r"^([+-]\d{2}):?(\d{2})$", "$1:$2")).otherwise("Z")
+        stamp = F.concat(
+            _day(p[0], p[1], p[2]), F.lit(" "), F.concat_ws(":", clock(3), clock(4), clock(5)), F.lit("."), F.rpad(p[6], 6, "0"), zone
+        )
+        return result(stamp.try_cast("timestamp"))
+
+    def year_last(p: Column) -> Column:
+        first, second = p[0].cast("int"), p[1].cast("int")
+        month_first = _day(p[2], p[0], p[1]).try_cast("timestamp")
+        day_first = _day(p[2], p[1], p[0]).try_cast("timestamp")
+        unclear = (first <= 12) & (second <= 12)
+        guess = month_first if allow_ambiguous else F.lit(None).cast("timestamp")
+        value = F.when(unclear, guess).when(first > 12, day_first).otherwise(month_first)
+        flag = unclear & value.isNotNull()
+        return result(value, flag, F.when(flag, day_first))
+
+    def read(raw: Column) -> Column:
+        return (
+            F.when(raw.rlike(_YEAR_FIRST), let(_groups(raw, _YEAR_FIRST, (1, 3, 4, 5, 6, 7, 8, 9)), year_first))
+            .when(raw.rlike(_COMPACT), result(F.regexp_replace(raw, _COMPACT, "$1-$2-$3").try_cast("timestamp")))
+            .when(raw.rlike(_YEAR_LAST), let(_groups(raw, _YEAR_LAST, (1, 3, 4)), year_last))
+            .otherwise(result(F.lit(None).cast("timestamp")))
+        )
+
+    return let(strip(c), read)
 
 
 def is_bool_like(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomframe.functions import geo
+from loomframe.functions.casts import let
 from loomframe.functions.text import tokens
 
 # Days per duration unit (a month is 30 days, a year 365).
@@ -150,7 +151,7 @@ def all_of(parts: Sequence[Column], max_gaps: int = -1, ordered: bool = False) -
     combine = _ordered if ordered else _unordered
     # The parts are bound once; inside the loops over them they are plain lookups.
     bound = F.struct(*[part.alias(n) for n, part in zip(names, parts)])
-    made = _let(bound, lambda env: combine([env[n] for n in names]))
+    made = let(bound, lambda env: combine([env[n] for n in names]))
     return F.filter(made, lambda i: i["w"].isNotNull() & _within(i["e"] - i["s"] + 1 - i["w"], max_gaps))
 
 
@@ -161,9 +162,9 @@ def _ordered(parts: Sequence[Column]) -> Column:
                 words = current["w"] + coming["w"]
                 return F.struct(current["s"].alias("s"), coming["e"].alias("e"), words.alias("w"))
 
-            return _let(_soonest(options, current["e"] + 1), joined)
+            return let(_soonest(options, current["e"] + 1), joined)
 
-        return _let(state, step)
+        return let(state, step)
 
     def extend(first: Column) -> Column:
         state = first
@@ -179,7 +180,7 @@ def _unordered(parts: Sequence[Column]) -> Column:
 
     def cover(start: Column) -> Column:
         chosen = [_soonest(options, start) for options in parts]
-        return _let(
+        return let(
             F.array(*chosen),
             lambda hits: F.struct(
                 start.alias("s"),
@@ -194,11 +195,6 @@ def _unordered(parts: Sequence[Column]) -> Column:
     return F.transform(starts, cover).cast(_INTERVALS)
 
 
-def _let(value: Column, body) -> Column:
-    """Name an expression once inside a larger one."""
-    return F.transform(F.array(value), body)[0]
-
-
 def any_of(parts: Sequence[Column]) -> Column:
     return F.concat(*parts)
 
