@@ -94,33 +94,32 @@ def infer_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     as wins; otherwise string.
     """
     tests = {
-        "bool": casts.is_bool_like,
-        "int": casts.is_int_like,
-        "decimal": casts.is_decimal_like,
-        "datetime": casts.is_datetime_like,
+        "bool": ("boolean", casts.is_bool_like),
+        "int": ("integer", casts.is_int_like),
+        "decimal": ("decimal", casts.is_decimal_like),
+        "datetime": ("dateTime", casts.is_datetime_like),
     }
-    sums = []
-    for i, c in enumerate(columns):
-        given = F.when(~casts.is_blank(F.col(c)), F.col(c).cast("string"))
-        sums.append(F.count(given).alias(f"_n{i}"))
-        for name, test in tests.items():
-            sums.append(F.count_if(given.isNotNull() & F.coalesce(test(given), F.lit(False))).alias(f"_{name}{i}"))
-
-    def row(i: int, c: str) -> Column:
-        ratios = {n: F.coalesce(F.try_divide(F.col(f"_{n}{i}"), F.col(f"_n{i}")), F.lit(0.0)) for n in tests}
-        names = {"bool": "boolean", "int": "integer", "decimal": "decimal", "datetime": "dateTime"}
-        kind, confidence = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(0.0))
-        for n, r in ratios.items():
-            kind, confidence = kind.when(r >= LIKELY, F.lit(names[n])), confidence.when(r >= LIKELY, r)
-        return F.struct(
-            F.lit(c).alias("column"),
-            kind.otherwise("string").alias("suggested_type"),
-            F.round(confidence.otherwise(F.greatest(*ratios.values())), 3).alias("confidence"),
-            F.col(f"_n{i}").alias("values"),
-            *[F.round(r, 3).alias(f"{n}_ratio") for n, r in ratios.items()],
-        )
-
-    return df.agg(*sums).select(F.inline(F.array(*[row(i, c) for i, c in enumerate(columns)])))
+    # The long form keeps the expressions few; counts combine map-side to one row per column.
+    values = stacked(df, columns).filter(~casts.is_blank(F.col("value")))
+    counted = values.groupBy("column").agg(
+        F.count(F.lit(1)).alias("values"), *[F.count_if(test(F.col("value"))).alias(n) for n, (_, test) in tests.items()]
+    )
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    ratios = named.join(counted, "column", "left").select(
+        "column",
+        F.coalesce("values", F.lit(0)).alias("values"),
+        *[F.coalesce(F.try_divide(n, "values"), F.lit(0.0)).alias(n) for n in tests],
+    )
+    kind, confidence = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(0.0))
+    for n, (name, _) in tests.items():
+        kind, confidence = kind.when(F.col(n) >= LIKELY, F.lit(name)), confidence.when(F.col(n) >= LIKELY, F.col(n))
+    return ratios.select(
+        "column",
+        kind.otherwise("string").alias("suggested_type"),
+        F.round(confidence.otherwise(F.greatest(*tests)), 3).alias("confidence"),
+        "values",
+        *[F.round(n, 3).alias(f"{n}_ratio") for n in tests],
+    )
 
 
 def cleansing_metrics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
