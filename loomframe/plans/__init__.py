@@ -16,6 +16,8 @@ MODULES = (
     "scalars",
     "searching",
     "checking",
+    "increments",
+    "building",
 )
 
 
