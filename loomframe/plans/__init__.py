@@ -18,6 +18,7 @@ MODULES = (
     "checking",
     "increments",
     "building",
+    "tracing",
 )
 
 
