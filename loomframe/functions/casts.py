@@ -27,7 +27,7 @@ def text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove every kind of leading and trailing whitespace."""
-    return F.regexp_replace(text(c), r"^\s+|\s+$", "")
+    return F.btrim(text(c), F.lit(" \t\n\r\f\x0b"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -136,6 +136,21 @@ def parse_number(c: Column) -> Column:
     return _with_number(c, finish)
 
 
+def number_kinds(c: Column) -> Column:
+    """struct(integer, decimal): does the text read as one, from a single parse."""
+
+    def kinds(body: Column, negative: Column) -> Column:
+        return let(
+            _canonical_number(body),
+            lambda plain: F.struct(
+                F.coalesce(plain.rlike(r"^\d+$") & plain.try_cast("bigint").isNotNull(), F.lit(False)).alias("integer"),
+                F.coalesce(plain.rlike(r"^\d+(\.\d+)?$"), F.lit(False)).alias("decimal"),
+            ),
+        )
+
+    return _with_number(c, kinds)
+
+
 _YEAR_FIRST = (
     r"(?i)^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:[ T](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6}))?)?)?"
     r"\s*(Z|UTC|GMT|[+-]\d{2}:?\d{2})?$"
@@ -195,7 +210,8 @@ def parse_datetime(c: Column, allow_ambiguous: bool = True) -> Column:
             .otherwise(result(F.lit(None).cast("timestamp")))
         )
 
-    return let(strip(c), read)
+    # Every layout starts with a digit; other text is done after one cheap test.
+    return let(F.when(text(c).rlike(r"^\s*\d"), strip(c)), read)
 
 
 def is_bool_like(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomframe.functions.casts import let, strip
+
 # Patterns of personal data and of tokens that only look like it.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 LONG_DIGITS = r"\b\+?\d[\d\s().-]{7,}\d\b"
@@ -53,11 +55,14 @@ def pattern_count(c: Column, pattern: str) -> Column:
 
 def value_pattern(c: Column) -> Column:
     """Class of a text value."""
-    value = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
-    named = F.when(c.isNull(), F.lit("null"))
-    for name, pattern in VALUE_PATTERNS:
-        named = named.when(value.rlike(pattern), F.lit(name))
-    return named.otherwise(F.lit("free_text"))
+
+    def classify(value: Column) -> Column:
+        named = F.when(value.isNull(), F.lit("null"))
+        for name, pattern in VALUE_PATTERNS:
+            named = named.when(value.rlike(pattern), F.lit(name))
+        return named.otherwise(F.lit("free_text"))
+
+    return let(strip(c), classify)
 
 
 def tokens(c: Column) -> Column:

@@ -135,14 +135,9 @@ def indirect_cycles(edges: DataFrame, max_depth: int = 10) -> DataFrame:
     """(path, length): simple cycles of three or more nodes, one per node set.
 
     For small graphs such as a schema. Paths begin at their smallest node, so each cycle is
-    found from one start only; edges outside strongly connected components are never walked.
+    found from one start only.
     """
     links = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
-    member = components(links)
-    same = links.join(member.select(F.col("node").alias("src"), F.col("component").alias("_a")), "src").join(
-        member.select(F.col("node").alias("dst"), F.col("component").alias("_b")), "dst"
-    )
-    links = cut_lineage(same.filter(F.col("_a") == F.col("_b")).select("src", "dst"))
     paths = links.filter(F.col("src") < F.col("dst")).select(F.array("src", "dst").alias("path"), F.col("dst").alias("tip"))
     found = []
     for length in range(3, max_depth + 1):
@@ -155,16 +150,23 @@ def indirect_cycles(edges: DataFrame, max_depth: int = 10) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _spread(labels: DataFrame, edges: DataFrame, keep: Column | None = None) -> DataFrame:
-    """Propagate the greatest label along edges until nothing changes: (node, label)."""
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Propagate the greatest label along edges until nothing changes: (node, label).
+
+    Only nodes whose label rose push again, and each round is one job.
+    """
+    state = labels.withColumn("rose", F.lit(True))
     while True:
-        pushed = edges.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
-        merged = labels.unionByName(pushed).groupBy("node").agg(F.max("label").alias("label"))
-        merged = cut_lineage(merged)
-        moved = merged.join(labels.withColumnRenamed("label", "_old"), "node").filter(F.col("label") != F.col("_old"))
-        labels = merged
-        if moved.isEmpty():
-            return labels
+        rising = state.filter("rose").select(F.col("node").alias("src"), "label")
+        pushed = edges.join(rising, "src").groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("_new"))
+        higher = F.coalesce(F.col("_new") > F.col("label"), F.lit(False))
+        state = cut_lineage(
+            state.join(pushed, "node", "left").select(
+                "node", F.when(higher, F.col("_new")).otherwise(F.col("label")).alias("label"), higher.alias("rose")
+            )
+        )
+        if state.filter("rose").isEmpty():
+            return state.drop("rose")
 
 
 def components(edges: DataFrame) -> DataFrame:

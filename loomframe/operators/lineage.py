@@ -48,7 +48,7 @@ def walk_edges(edges: DataFrame, walked: DataFrame, max_depth: int, direction: s
 
 def shortest_path(edges: DataFrame, root: str, target: str, direction: str = "downstream", max_depth: int = 5) -> DataFrame:
     """(path, hops) with the fewest hops, the smallest such path; one path per node is kept."""
-    links = _turned(edges, direction).select("src", "dst").distinct()
+    links = _turned(edges, direction).select("src", "dst")
     frontier = _root(edges, root).select("node", F.array("node").alias("path"))
     visited = frontier.select("node")
     for depth in range(1, max_depth + 1):

@@ -93,32 +93,32 @@ def infer_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The first of boolean, integer, decimal, dateTime that at least 95 % of the values parse
     as wins; otherwise string.
     """
-    tests = {
-        "bool": ("boolean", casts.is_bool_like),
-        "int": ("integer", casts.is_int_like),
-        "decimal": ("decimal", casts.is_decimal_like),
-        "datetime": ("dateTime", casts.is_datetime_like),
-    }
+    kinds = {"bool": "boolean", "int": "integer", "decimal": "decimal", "datetime": "dateTime"}
     # The long form keeps the expressions few; counts combine map-side to one row per column.
     values = stacked(df, columns).filter(~casts.is_blank(F.col("value")))
-    counted = values.groupBy("column").agg(
-        F.count(F.lit(1)).alias("values"), *[F.count_if(test(F.col("value"))).alias(n) for n, (_, test) in tests.items()]
+    read = values.withColumn("_n", casts.number_kinds(F.col("value")))
+    counted = read.groupBy("column").agg(
+        F.count(F.lit(1)).alias("values"),
+        F.count_if(casts.is_bool_like(F.col("value"))).alias("bool"),
+        F.count_if("_n.integer").alias("int"),
+        F.count_if("_n.decimal").alias("decimal"),
+        F.count_if(casts.is_datetime_like(F.col("value"))).alias("datetime"),
     )
     named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     ratios = named.join(counted, "column", "left").select(
         "column",
         F.coalesce("values", F.lit(0)).alias("values"),
-        *[F.coalesce(F.try_divide(n, "values"), F.lit(0.0)).alias(n) for n in tests],
+        *[F.coalesce(F.try_divide(n, "values"), F.lit(0.0)).alias(n) for n in kinds],
     )
     kind, confidence = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(0.0))
-    for n, (name, _) in tests.items():
+    for n, name in kinds.items():
         kind, confidence = kind.when(F.col(n) >= LIKELY, F.lit(name)), confidence.when(F.col(n) >= LIKELY, F.col(n))
     return ratios.select(
         "column",
         kind.otherwise("string").alias("suggested_type"),
-        F.round(confidence.otherwise(F.greatest(*tests)), 3).alias("confidence"),
+        F.round(confidence.otherwise(F.greatest(*kinds)), 3).alias("confidence"),
         "values",
-        *[F.round(n, 3).alias(f"{n}_ratio") for n in tests],
+        *[F.round(n, 3).alias(f"{n}_ratio") for n in kinds],
     )
 
 

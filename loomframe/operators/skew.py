@@ -26,21 +26,28 @@ def _axis(df: DataFrame, name: str) -> Column:
     return col.cast("double")
 
 
-def quantile_cuts(df: DataFrame, axis: str, slices: int = SLICES) -> Column:
-    """Cut points of the axis as one scalar subquery over that single column."""
-    points = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    return df.agg(F.percentile_approx(_axis(df, axis), points, 10_000).alias("cuts")).scalar()
+def quantile_cuts(df: DataFrame, axis: str, slices: int = SLICES) -> list[float]:
+    """Distinct cut points of the axis: one small job over that column, ``slices`` numbers at most."""
+    points = [i / slices for i in range(1, slices)]
+    cuts = df.agg(F.percentile_approx(_axis(df, axis), points, 10_000)).first()[0]
+    return sorted(set(cuts or []))
+
+
+def _place(axis: Column, cuts: Sequence[float], low: int, high: int) -> Column:
+    """Number of cuts below ``axis``, by binary search: a handful of comparisons per row."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(axis > F.lit(cuts[middle]), _place(axis, cuts, middle + 1, high)).otherwise(
+        _place(axis, cuts, low, middle)
+    )
 
 
-def with_slice(df: DataFrame, axis: str, slices: int = SLICES, cuts: Column | None = None) -> DataFrame:
+def with_slice(df: DataFrame, axis: str, slices: int = SLICES, cuts: Sequence[float] | None = None) -> DataFrame:
     """Number of quantile cuts below the row's place on the order axis; missing values get 0."""
     cuts = quantile_cuts(df, axis, slices) if cuts is None else cuts
-    below = F.size(F.filter("_cuts", lambda c: c < F.col("_axis")))
-    return (
-        df.withColumns({"_axis": _axis(df, axis), "_cuts": F.coalesce(cuts, F.array().cast("array<double>"))})
-        .withColumn("_slice", F.when(F.col("_axis").isNull(), F.lit(0)).otherwise(below))
-        .drop("_axis", "_cuts")
-    )
+    number = df.withColumn("_axis", _axis(df, axis))
+    return number.withColumn("_slice", _place(F.col("_axis"), cuts, 0, len(cuts))).drop("_axis")
 
 
 def _group(keys: Sequence[str]) -> Column:
@@ -86,7 +93,7 @@ def running_before(
     name: str,
     slices: int = SLICES,
     include_current: bool = False,
-    cuts: Column | None = None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Running ``max``/``min``/``sum``/``last`` of ``value`` over the earlier rows of the group.
 

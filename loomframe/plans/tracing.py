@@ -26,14 +26,19 @@ _EDGE_LIST = [
 ]
 
 
-def _edges(spark, d):
+def _links(spark, d):
     parts = [
         table(spark, d, t).select(F.expr(s).alias("src"), F.expr(o).alias("dst"), F.lit(p).alias("predicate"))
         for t, s, o, p in _EDGE_LIST
     ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _edges(spark, d):
+    return _links(spark, d).distinct()
 
 
+_DUCK_LINKS = "links AS (" + " UNION ALL ".join(f"SELECT {s} AS src, {o} AS dst, '{p}' AS predicate FROM {t}" for t, s, o, p in _EDGE_LIST) + ")"
 _DUCK_EDGES = "edges AS (" + " UNION ".join(f"SELECT {s} AS src, {o} AS dst, '{p}' AS predicate FROM {t}" for t, s, o, p in _EDGE_LIST) + ")"
 
 
@@ -109,10 +114,10 @@ def graph_paths(spark, d):
 
 @query(
     "graph_class_adjacency",
-    f"WITH {_DUCK_EDGES} SELECT split_part(src, '/', 1) AS src, predicate, split_part(dst, '/', 1) AS dst, count(*) AS links FROM edges GROUP BY 1, 2, 3",
+    f"WITH {_DUCK_LINKS} SELECT split_part(src, '/', 1) AS src, predicate, split_part(dst, '/', 1) AS dst, count(*) AS links FROM links GROUP BY 1, 2, 3",
 )
 def graph_class_adjacency(spark, d):
-    return G.class_adjacency(_edges(spark, d))
+    return G.class_adjacency(_links(spark, d))
 
 
 _DUCK_CLASSES = f"""
@@ -131,12 +136,12 @@ _DUCK_PATHS = """
     f"WITH RECURSIVE {_DUCK_CLASSES}, {_DUCK_PATHS.format(start='order', depth=3)} SELECT array_to_string(path, '>') AS path, array_to_string(predicates, '>') AS predicates FROM paths WHERE tip = 'nation'",
 )
 def graph_class_paths(spark, d):
-    paths = G.class_paths(_edges(spark, d), "order", "nation", 3)
+    paths = G.class_paths(_links(spark, d), "order", "nation", 3)
     return paths.select(F.concat_ws(">", "path").alias("path"), F.concat_ws(">", "predicates").alias("predicates"))
 
 
 def _weighted(spark, d):
-    return G.weigh(G.class_adjacency(_edges(spark, d)), {"contains": 2.0, "in_nation": 1.0}, {"in_nation": 1.5})
+    return G.weigh(G.class_adjacency(_links(spark, d)), {"contains": 2.0, "in_nation": 1.0}, {"in_nation": 1.5})
 
 
 @query(
@@ -203,7 +208,7 @@ def graph_direct_cycles(spark, d):
     """,
 )
 def graph_indirect_cycles(spark, d):
-    cycles = G.indirect_cycles(G.class_adjacency(_edges(spark, d)), 6)
+    cycles = G.indirect_cycles(G.class_adjacency(_links(spark, d)), 6)
     return cycles.select(F.concat_ws(">", "path").alias("path"), "length")
 
 
