@@ -1,7 +1,7 @@
 """As-of join: for every left row the best right row of the same key near its event time.
 
-Both sides are merged into one time-ordered stream per key and the last (or next) right row is
-carried forward, so no pairs are produced and a busy key is spread over time slices.
+The seconds of both sides are merged into one time-ordered scan per key that carries the last
+(or next) right row, so no pairs are produced and a busy key is spread over time slices.
 """
 
 from __future__ import annotations
@@ -55,31 +55,29 @@ def asof_join(
     seconds = _seconds(left, left_time)
     lefts = left.select(*keys, seconds.alias("_sec"), F.struct(*left.columns).alias("_l"))
     rights = right.select(*keys, _seconds(right, right_time).alias("_sec"), F.struct(*right.columns).alias("_r"))
-    # Only the first of several right rows in one second can win.
-    timed = (
-        rights.filter(F.col("_sec").isNotNull())
+    # One row per key and second: whether the left side has it, and the right row with the
+    # smallest id, the only one of that second that can win. Left rows stay out of the scan.
+    none = F.lit(None).cast(rights.schema["_r"].dataType)
+    instants = (
+        lefts.select(*keys, "_sec", F.lit(True).alias("_asked"), none.alias("_r"))
+        .unionByName(rights.select(*keys, "_sec", F.lit(False).alias("_asked"), "_r"))
+        .filter(F.col("_sec").isNotNull())
         .groupBy(*keys, "_sec")
-        .agg(F.min_by("_r", f"_r.{right_id}").alias("_r"))
-    )
-    # Left rows outnumber seconds, so their times set the slices.
-    cuts = quantile_cuts(lefts, "_sec", slices)
-    lacking = F.lit(None).cast(lefts.schema["_l"].dataType)
-    stream = (
-        lefts.filter(F.col("_sec").isNotNull())
-        .select(*keys, "_sec", F.lit(1).alias("_side"), "_l", F.lit(None).cast(timed.schema["_r"].dataType).alias("_r"))
-        .unionByName(timed.select(*keys, "_sec", F.lit(0).alias("_side"), lacking.alias("_l"), "_r"))
+        .agg(F.max("_asked").alias("_asked"), F.min_by("_r", f"_r.{right_id}").alias("_r"))
     )
+    cuts = quantile_cuts(lefts, ["_sec"], slices)
     found: list[Column] = []
-    for name, order in (("_back", ["_sec", "_side"]), ("_next", ["-_sec", "_side"])):
+    for name, order in (("_back", ["_sec"]), ("_next", ["-_sec"])):
         if direction in ("symmetric", "backward" if name == "_back" else "forward"):
             entry = F.when(F.col("_r").isNotNull(), F.struct("_sec", "_r"))
-            stream = running_before(stream, keys, order, entry, "last", name, slices, True, cuts)
+            instants = running_before(instants, keys, order, entry, "last", name, slices, True, cuts)
             near = F.abs(F.col("_sec") - F.col(f"{name}._sec"))
             ranked = F.struct(near.alias("d"), F.col(f"{name}._r.{right_id}").alias("id"), F.col(f"{name}._r").alias("r"))
             found.append(F.when(near <= F.lit(reach), ranked))
     # Nearest first, then the smaller right id: exactly the struct's field order.
     best = found[0] if len(found) == 1 else F.least(*found)
-    matched = stream.filter(F.col("_side") == 1).select(*keys, "_sec", "_l", best.getField("r").alias("_r"))
+    answers = instants.filter("_asked").select(*keys, "_sec", best.getField("r").alias("_r"))
+    matched = lefts.filter(F.col("_sec").isNotNull()).join(answers, [*keys, "_sec"], "left").select(*keys, "_sec", "_l", "_r")
     matched = matched.unionByName(
         lefts.filter(F.col("_sec").isNull()).withColumn("_r", F.lit(None).cast(rights.schema["_r"].dataType))
     )

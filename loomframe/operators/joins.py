@@ -108,7 +108,8 @@ def join_quality(
         F.sum(r).alias("right_rows"),
         F.sum(F.when(hit, l).otherwise(0)).alias("left_matched"),
         F.sum(F.when(hit, r).otherwise(0)).alias("right_matched"),
-        F.sum(l * r).alias("inner_rows"),
+        # Products of row counts outgrow a bigint long before the tables do.
+        F.coalesce(F.sum(l.cast("decimal(19,0)") * r.cast("decimal(19,0)")), F.lit(0)).cast("decimal(38,0)").alias("inner_rows"),
     )
 
     def ratio(a: Column, b: Column) -> Column:
@@ -123,10 +124,10 @@ def join_quality(
         output = F.col("inner_rows") + alone_left + alone_right
         return F.struct(
             F.lit(how).alias("join_type"),
-            output.alias("output_rows"),
-            ratio(output, F.greatest("left_rows", "right_rows", F.lit(1))).alias("explosion"),
-            ratio(alone_right, output).alias("left_null_ratio"),
-            ratio(alone_left, output).alias("right_null_ratio"),
+            output.cast("decimal(38,0)").alias("output_rows"),
+            ratio(output.cast("double"), F.greatest("left_rows", "right_rows", F.lit(1))).alias("explosion"),
+            ratio(alone_right.cast("double"), output.cast("double")).alias("left_null_ratio"),
+            ratio(alone_left.cast("double"), output.cast("double")).alias("right_null_ratio"),
         )
 
     return totals.select(

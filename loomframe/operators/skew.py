@@ -7,7 +7,9 @@ from slice to slice, so a group holding a third of the table still spreads over
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,21 +18,60 @@ SLICES = 64
 
 
 def _axis(df: DataFrame, name: str) -> Column:
-    """The order column as a number that keeps its order."""
+    """The order column as a number that never reverses its order.
+
+    Text counts by its first six bytes, so longer equal beginnings share a number.
+    """
     kind = dict(df.dtypes)[name]
     col = F.col(name)
     if kind.startswith("timestamp"):
         return F.unix_micros(col.cast("timestamp")).cast("double")
     if kind == "date":
         return F.unix_date(col).cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return col.cast("double")
 
 
-def quantile_cuts(df: DataFrame, axis: str, slices: int = SLICES) -> list[float]:
-    """Distinct cut points of the axis: one small job over that column, ``slices`` numbers at most."""
+@dataclass(frozen=True)
+class Cuts:
+    """Where an order is cut: places on the first axis, and inside values that alone fill slices."""
+
+    first: list[float]
+    within: dict[float | None, list[float]]
+
+
+def quantile_cuts(df: DataFrame, order: Sequence[str], slices: int = SLICES) -> Cuts:
+    """Cut points by quantile: one job over the first order column.
+
+    When single values (or missing ones) hold whole slices, a second job over those rows cuts
+    them by the next order column. At most ``slices`` squared numbers reach the driver.
+    """
+    names = [o.lstrip("-") for o in order]
     points = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(_axis(df, axis), points, 10_000)).first()[0]
-    return sorted(set(cuts or []))
+    axis = _axis(df, names[0])
+    row = df.agg(
+        F.percentile_approx(axis, points, 10_000).alias("cuts"), F.count(F.lit(1)).alias("rows"), F.count(axis).alias("known")
+    ).first()
+    found = list(row.cuts or [])
+    heavy: dict[float | None, int] = {v: n for v, n in Counter(found).items() if n > 1}
+    if (row.rows - row.known) * slices > row.rows:
+        heavy[None] = slices
+    within: dict[float | None, list[float]] = {}
+    if heavy and len(names) > 1:
+        known = [v for v in heavy if v is not None]
+        groups = df.select(axis.alias("_a"), _axis(df, names[1]).alias("_b")).filter(
+            _matches(known, None in heavy)
+        )
+        for r in groups.groupBy("_a").agg(F.percentile_approx("_b", points, 10_000).alias("cuts")).collect():
+            step = max(1, slices // (heavy[r["_a"]] + 1))
+            within[r["_a"]] = sorted(set((r.cuts or [])[step - 1 :: step]))
+    return Cuts(sorted(set(found)), within)
+
+
+def _matches(values: Sequence[float], missing: bool) -> Column:
+    test = F.coalesce(F.col("_a").isin(list(values)), F.lit(False)) if values else F.lit(False)
+    return test | F.col("_a").isNull() if missing else test
 
 
 def _place(axis: Column, cuts: Sequence[float], low: int, high: int) -> Column:
@@ -43,11 +84,21 @@ def _place(axis: Column, cuts: Sequence[float], low: int, high: int) -> Column:
     )
 
 
-def with_slice(df: DataFrame, axis: str, slices: int = SLICES, cuts: Sequence[float] | None = None) -> DataFrame:
-    """Number of quantile cuts below the row's place on the order axis; missing values get 0."""
-    cuts = quantile_cuts(df, axis, slices) if cuts is None else cuts
-    number = df.withColumn("_axis", _axis(df, axis))
-    return number.withColumn("_slice", _place(F.col("_axis"), cuts, 0, len(cuts))).drop("_axis")
+def with_slice(df: DataFrame, order: Sequence[str], slices: int = SLICES, cuts: Cuts | None = None) -> DataFrame:
+    """Slice number of each row, rising in sort order ("-col" descends). Missing values sort lowest."""
+    cuts = quantile_cuts(df, order, slices) if cuts is None else cuts
+    wide = 1 << 12
+    first, second = order[0], order[1] if len(order) > 1 else order[0]
+    down, down_within = first.startswith("-"), second.startswith("-")
+    made = df.withColumns({"_a": _axis(df, first.lstrip("-")), "_b": _axis(df, second.lstrip("-"))})
+    base = F.when(F.col("_a").isNull(), F.lit(0)).otherwise(_place(F.col("_a"), cuts.first, 0, len(cuts.first)) + 1)
+    # The other rows of a heavy value's slice lie below it.
+    part = F.lit(wide - 1 if down else 0)
+    for value, inner in cuts.within.items():
+        at = F.when(F.col("_b").isNull(), F.lit(0)).otherwise(_place(F.col("_b"), inner, 0, len(inner)) + 1)
+        part = F.when(F.col("_a").eqNullSafe(F.lit(value).cast("double")), F.lit(len(inner) + 1) - at if down_within else at).otherwise(part)
+    number = (F.lit(len(cuts.first) + 1) - base if down else base) * wide + part
+    return made.withColumn("_slice", number).drop("_a", "_b")
 
 
 def _group(keys: Sequence[str]) -> Column:
@@ -60,21 +111,17 @@ def _order(order: Sequence[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def _slice_order(order: Sequence[str]) -> Column:
-    return F.col("_slice").desc() if order[0].startswith("-") else F.col("_slice").asc()
-
-
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, slices: int = SLICES
 ) -> DataFrame:
     """``row_number`` for every row without gathering a group in one task.
 
-    The first order column must be numeric or a date/time; "-col" sorts descending.
+    "-col" sorts descending. The first two order columns cut busy groups.
     """
     columns = df.columns
-    cut = with_slice(df, order[0].lstrip("-"), slices).withColumn("_group", _group(keys))
+    cut = with_slice(df, order, slices).withColumn("_group", _group(keys))
     sizes = cut.groupBy("_group", "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy("_group").orderBy(_slice_order(order)).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_group", "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
     local = Window.partitionBy("_group", "_slice").orderBy(*_order(order))
     return (
@@ -93,15 +140,16 @@ def running_before(
     name: str,
     slices: int = SLICES,
     include_current: bool = False,
-    cuts: Sequence[float] | None = None,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """Running ``max``/``min``/``sum``/``last`` of ``value`` over the earlier rows of the group.
 
-    ``last`` skips missing values. The order must be total within a group.
+    ``last`` skips missing values. The order must be total within a group, and its columns
+    all ascend or all descend.
     """
     columns = df.columns
     cut = (
-        with_slice(df, order[0].lstrip("-"), slices, cuts)
+        with_slice(df, order, slices, cuts)
         .withColumn("_group", _group(keys))
         .withColumn("_value", value)
     )
@@ -124,7 +172,7 @@ def running_before(
             ends = {"max": F.greatest, "min": F.least}[how]
             merge = lambda here, before: ends(here, before)
     summaries = cut.groupBy("_group", "_slice").agg(summary.alias("_summary"))
-    earlier = Window.partitionBy("_group").orderBy(_slice_order(order)).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carries = summaries.select("_group", "_slice", carry(earlier).alias("_carry"))
     local = (
         Window.partitionBy("_group", "_slice")

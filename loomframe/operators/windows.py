@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.operators.skew import earliest, latest, row_numbers
+from loomframe.operators.skew import _group, earliest, latest, row_numbers, running_before
 
 
 def row_number(
@@ -15,13 +15,81 @@ def row_number(
 ) -> DataFrame:
     """Number rows inside each group. Groups of any size: the order axis is sliced.
 
-    The first order column must be numeric or a date/time, and the order total.
+    The order must be total.
     """
     return row_numbers(df, partition_by, order_by, output)
 
 
+def ranks(df: DataFrame, partition_by: Sequence[str], order: str, tie: Sequence[str], tiles: int | None = None) -> DataFrame:
+    """``row_number``, ``rank``, ``dense_rank`` and ``ntile`` columns for groups of any size.
+
+    Ranks compare ``order`` alone ("-col" descends); row numbers and tiles settle ties by ``tie``.
+    Ranks are worked out on one row per distinct value and joined back, so neither a busy
+    group nor a busy value gathers in one task.
+    """
+    columns, value = df.columns, order.lstrip("-")
+    keys = F.struct(F.struct(*partition_by).alias("g"), F.col(value).alias("v"))
+    counts = df.groupBy(*partition_by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = row_numbers(running_before(counts, partition_by, [order], F.col("_n"), "sum", "_before"), partition_by, [order], "_dense")
+    totals = df.groupBy(F.struct(*partition_by).alias("_g")).agg(F.count(F.lit(1)).alias("_total"))
+    lookup = ranked.select(
+        keys.alias("_key"), (F.coalesce("_before", F.lit(0)) + 1).cast("bigint").alias("rank"), F.col("_dense").alias("dense_rank")
+    )
+    numbered = row_numbers(df, partition_by, [order, *tie], "row_number").withColumn("_key", keys)
+    joined = numbered.join(lookup, "_key")
+    names = ["row_number", "rank", "dense_rank"]
+    if tiles:
+        # The first (total mod tiles) tiles hold one row more than the rest.
+        joined = joined.withColumn("_g", F.struct(*partition_by)).join(totals, "_g")
+        small, large = F.floor(F.col("_total") / tiles), F.col("_total") % tiles
+        at = F.col("row_number") - 1
+        head = large * (small + 1)
+        tile = F.when(at < head, F.floor(at / (small + 1))).otherwise(large + F.floor((at - head) / F.greatest(small, F.lit(1))))
+        joined, names = joined.withColumn("ntile", (tile + 1).cast("bigint")), [*names, "ntile"]
+    return joined.select(*columns, *names)
+
+
+def neighbours(
+    df: DataFrame,
+    partition_by: Sequence[str],
+    order: Sequence[str],
+    columns: Mapping[str, str],
+    before: int = 1,
+    after: int = 1,
+    chunk: int = 100_000,
+) -> DataFrame:
+    """Window functions that look at most ``before`` rows back and ``after`` rows ahead.
+
+    ``columns`` holds window calls without their OVER clause, and optionally a ROWS frame after
+    a ``|``: ``lag(x)``, ``avg(x) | ROWS BETWEEN 2 PRECEDING AND CURRENT ROW``. Groups are cut
+    into runs of ``chunk`` rows, each with copies of its few neighbouring rows, so that no run
+    grows with its group.
+    """
+    numbered = row_numbers(df, partition_by, order, "_rn").withColumn("_group", _group(partition_by))
+    place = F.col("_rn") - 1
+    home, offset = F.floor(place / chunk), place % chunk
+    others = F.array_compact(
+        F.array(
+            F.struct(home.alias("run"), F.lit(True).alias("own")),
+            F.when(offset >= chunk - before, F.struct((home + 1).alias("run"), F.lit(False).alias("own"))),
+            F.when((offset < after) & (home > 0), F.struct((home - 1).alias("run"), F.lit(False).alias("own"))),
+        )
+    )
+    spread = numbered.select("*", F.inline(others))
+    over = "OVER (PARTITION BY _group, run ORDER BY _rn"
+    made = []
+    for name, call in columns.items():
+        function, _, frame = call.partition("|")
+        made.append(F.expr(f"{function.strip()} {over} {frame.strip()})").alias(name))
+    return spread.select("*", *made).filter("own").select(*df.columns, *columns)
+
+
 def window_expressions(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """SQL window expressions, passed to Catalyst together so equal windows share one sort."""
+    """Any SQL window expressions, passed to Catalyst together so equal windows share one sort.
+
+    Each group is one task's work; for groups without a size bound use :func:`row_number`,
+    :func:`ranks`, :func:`neighbours` and the per-key aggregates.
+    """
     return df.select("*", *[F.expr(e).alias(a) for a, e in columns.items()])
 
 

@@ -307,33 +307,87 @@ def window_row_number(spark, d):
 
 
 @query(
-    "window_expressions",
+    "window_ranks",
+    """
+    SELECT o_orderkey, o_custkey, row_number() OVER w AS row_number, rank() OVER v AS rank, dense_rank() OVER v AS dense_rank, ntile(3) OVER w AS ntile
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), v AS (PARTITION BY o_custkey ORDER BY o_orderdate)
+    """,
+)
+def window_ranks(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return W.ranks(orders, ["o_custkey"], "o_orderdate", ["o_orderkey"], 3).drop("o_orderdate")
+
+
+@query(
+    "window_ranks_large_groups",
     """
-    SELECT o_orderkey, o_custkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS INTEGER) AS nth,
-      CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS INTEGER) AS dense,
-      lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS following,
-      first_value(o_orderkey) OVER w AS first, last_value(o_orderkey) OVER w AS last, CAST(ntile(3) OVER w AS INTEGER) AS third,
+    SELECT l_returnflag, l_quantity, row_number, rank, dense_rank, ntile, count(*) AS n FROM (
+      SELECT l_returnflag, l_quantity, row_number() OVER w % 2 AS row_number, rank() OVER v AS rank, dense_rank() OVER v AS dense_rank, ntile(7) OVER w AS ntile
+      FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice),
+        v AS (PARTITION BY l_returnflag ORDER BY l_quantity DESC)) GROUP BY ALL
+    """,
+)
+def window_ranks_large_groups(spark, d):
+    items = table(spark, d, "lineitem")
+    tie = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    ranked = W.ranks(items.select("l_returnflag", "l_quantity", *tie), ["l_returnflag"], "-l_quantity", tie, 7)
+    ranked = ranked.withColumn("row_number", F.col("row_number") % 2)
+    return ranked.groupBy("l_returnflag", "l_quantity", "row_number", "rank", "dense_rank", "ntile").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "window_neighbours",
+    """
+    SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey, 2) OVER w AS second_next,
       round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving
     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
     """,
 )
-def window_expressions(spark, d):
-    by_time = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate)"
-    total = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
-    df = W.window_expressions(
+def window_neighbours(spark, d):
+    df = W.neighbours(
         table(spark, d, "orders"),
+        ["o_custkey"],
+        ["o_orderdate", "o_orderkey"],
         {
-            "nth": f"rank() {by_time}",
-            "dense": f"dense_rank() {by_time}",
-            "previous": f"lag(o_orderkey) {total})",
-            "following": f"lead(o_orderkey) {total})",
-            "first": f"first_value(o_orderkey) {total})",
-            "last": f"last_value(o_orderkey) {total})",
-            "third": f"ntile(3) {total})",
-            "moving": f"round(sum(o_totalprice) {total} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2)",
+            "previous": "lag(o_orderkey)",
+            "second_next": "lead(o_orderkey, 2)",
+            "moving": "sum(o_totalprice) | ROWS BETWEEN 2 PRECEDING AND CURRENT ROW",
         },
+        before=2,
+        after=2,
+    )
+    return df.select("o_orderkey", "o_custkey", "previous", "second_next", F.round("moving", 2).alias("moving"))
+
+
+@query(
+    "window_ends",
+    """
+    SELECT o_custkey, first_value(o_orderkey) OVER w AS first, last_value(o_orderkey) OVER w AS last FROM orders
+    WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+    """,
+)
+def window_ends(spark, d):
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    order = ["o_orderdate", "o_orderkey"]
+    first = W.first_per_key(orders, ["o_custkey"], order).select("o_custkey", F.col("o_orderkey").alias("first"))
+    last = W.latest_per_key(orders, ["o_custkey"], order).select("o_custkey", F.col("o_orderkey").alias("last"))
+    return orders.select("o_custkey").join(first, "o_custkey").join(last, "o_custkey")
+
+
+@query(
+    "window_expressions",
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+      CAST(rank() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice) AS INTEGER) AS nth,
+      max(l_extendedprice) OVER (PARTITION BY l_orderkey, l_linenumber) AS top FROM lineitem
+    """,
+)
+def window_expressions(spark, d):
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    line = "OVER (PARTITION BY l_orderkey, l_linenumber"
+    return W.window_expressions(
+        items, {"nth": f"rank() {line} ORDER BY l_extendedprice)", "top": f"max(l_extendedprice) {line})"}
     )
-    return df.drop("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
 
 
 @query(

@@ -260,7 +260,7 @@ _QUALITY_SQL = """
 def join_quality(spark, d):
     left = table(spark, d, "lineitem").selectExpr("nullif(l_suppkey, 5) AS k")
     right = table(spark, d, "customer").selectExpr("c_nationkey * 2 AS k")
-    report = J.join_quality(left, right, ["k"])
+    report = J.join_quality(left, right, ["k"]).withColumn("output_rows", F.col("output_rows").cast("bigint"))
     return report.withColumns({c: F.round(c, 6) for c, t in report.dtypes if t == "double"})
 
 

@@ -42,12 +42,40 @@ def test_row_numbers_of_busy_keys(spark):
         assert got == expected
 
 
+def test_row_numbers_where_one_value_fills_most_slices(spark):
+    rng = random.Random(4)
+    rows = [(0, None if i % 5 == 0 else "same" if i % 2 else f"v{rng.randrange(9)}", i * 31 % 2003) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, v string, id int")
+    low = lambda v: (v is not None, v or "")
+    for order, first, second in ((["v", "id"], 1, 1), (["-v", "id"], -1, 1), (["v", "-id"], 1, -1), (["-v", "-id"], -1, -1)):
+        ranked = sorted(rows, key=lambda r: second * r[2])
+        ranked.sort(key=lambda r: low(r[1]), reverse=first < 0)
+        got = {r.id: r.rn for r in K.row_numbers(df, ["k"], order, "rn", slices=16).collect()}
+        assert got == {r[2]: i for i, r in enumerate(ranked, 1)}
+    assert K.with_slice(df, ["v", "id"], 16).groupBy("_slice").count().agg(F.max("count")).first()[0] < 400
+
+
 def test_row_numbers_with_missing_keys_and_times(spark):
     rows = [(None, 1, 1), (None, None, 2), (5, None, 3), (5, 7, 4)]
     df = spark.createDataFrame(rows, "k int, t int, id int")
     assert {r.id: r.rn for r in W.row_number(df, ["k"], ["t", "id"], "rn").collect()} == {2: 1, 1: 2, 3: 1, 4: 2}
 
 
+def test_neighbours_cross_runs(spark):
+    rows = busy_rows(600)
+    df = spark.createDataFrame(rows, "k int, t int, id int")
+    calls = {"p": "lag(id, 2)", "n": "lead(id)", "s": "sum(id) | ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING"}
+    got = {r.id: (r.p, r.n, r.s) for r in W.neighbours(df, ["k"], ["t", "id"], calls, 2, 1, chunk=7).collect()}
+    groups = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        groups[r[0]].append(r[2])
+    for ids in groups.values():
+        for i, one in enumerate(ids):
+            expected = (ids[i - 2] if i > 1 else None, ids[i + 1] if i + 1 < len(ids) else None, sum(ids[max(0, i - 2) : i + 2]))
+            assert got[one] == expected
+    assert len(got) == len(rows)
+
+
 @pytest.mark.parametrize("how", ["max", "sum", "last"])
 def test_running_values_cross_slices(spark, how):
     rows = [(k, i, (i * 7919) % 101 if i % 4 else None) for i, (k, _, _) in enumerate(busy_rows())]
