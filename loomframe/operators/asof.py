@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.operators.joins import _right_names
-from loomframe.operators.skew import quantile_cuts, running_before
+from loomframe.operators.skew import TASK_ROWS, running_before
 
 DIRECTIONS = ("backward", "forward", "symmetric")
 
@@ -36,7 +36,7 @@ def asof_join(
     right_cache: float,
     direction: str = "backward",
     how: str = "full",
-    slices: int = 64,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Best right row per left row, then the unmatched rows that ``how`` asks for.
 
@@ -65,12 +65,12 @@ def asof_join(
         .groupBy(*keys, "_sec")
         .agg(F.max("_asked").alias("_asked"), F.min_by("_r", f"_r.{right_id}").alias("_r"))
     )
-    cuts = quantile_cuts(lefts, ["_sec"], slices)
+    asked = lefts.select(*keys, "_sec").unionByName(rights.select(*keys, "_sec")).filter(F.col("_sec").isNotNull())
     found: list[Column] = []
     for name, order in (("_back", ["_sec"]), ("_next", ["-_sec"])):
         if direction in ("symmetric", "backward" if name == "_back" else "forward"):
             entry = F.when(F.col("_r").isNotNull(), F.struct("_sec", "_r"))
-            instants = running_before(instants, keys, order, entry, "last", name, slices, True, cuts)
+            instants = running_before(instants, keys, order, entry, "last", name, task_rows, True, asked)
             near = F.abs(F.col("_sec") - F.col(f"{name}._sec"))
             ranked = F.struct(near.alias("d"), F.col(f"{name}._r.{right_id}").alias("id"), F.col(f"{name}._r").alias("r"))
             found.append(F.when(near <= F.lit(reach), ranked))

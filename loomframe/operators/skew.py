@@ -1,20 +1,27 @@
 """Ordered work over groups of any size.
 
-A plain window puts a whole group into one task. Here the order axis is cut at quantiles,
-each (group, slice) is worked on by itself and only one summary row per slice is carried
-from slice to slice, so a group holding a third of the table still spreads over the cluster.
+A plain window puts a whole group into one task, which is right for small groups. The few
+groups that are too large are found first; their order axis is cut at quantiles, each (group,
+slice) is worked on by itself and only one summary row per slice is carried from slice to
+slice, so a group holding a third of the table still spreads over the cluster.
 """
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-SLICES = 64
+# Rows of one group that one task takes; busier groups are cut. At most this many groups are
+# ever listed as busy, and this many slices made, whatever the size of the table.
+TASK_ROWS = 2_000_000
+MAX_BUSY = 10_000
+MAX_SLICES = 1_000
 
 
 def _axis(df: DataFrame, name: str) -> Column:
@@ -41,11 +48,12 @@ class Cuts:
     within: dict[float | None, list[float]]
 
 
-def quantile_cuts(df: DataFrame, order: Sequence[str], slices: int = SLICES) -> Cuts:
+def quantile_cuts(df: DataFrame, order: Sequence[str], slices: int) -> Cuts:
     """Cut points by quantile: one job over the first order column.
 
     When single values (or missing ones) hold whole slices, a second job over those rows cuts
-    them by the next order column. At most ``slices`` squared numbers reach the driver.
+    them by the next order column, in proportion. At most ``slices`` arrays reach the driver,
+    thinned to about ``slices`` numbers altogether.
     """
     names = [o.lstrip("-") for o in order]
     points = [i / slices for i in range(1, slices)]
@@ -63,9 +71,14 @@ def quantile_cuts(df: DataFrame, order: Sequence[str], slices: int = SLICES) ->
         groups = df.select(axis.alias("_a"), _axis(df, names[1]).alias("_b")).filter(
             _matches(known, None in heavy)
         )
-        for r in groups.groupBy("_a").agg(F.percentile_approx("_b", points, 10_000).alias("cuts")).collect():
-            step = max(1, slices // (heavy[r["_a"]] + 1))
-            within[r["_a"]] = sorted(set((r.cuts or [])[step - 1 :: step]))
+        share = F.when(F.col("_a").isNull(), F.lit(heavy.get(None, 1)))
+        for v in known:
+            share = share.when(F.col("_a") == F.lit(v), F.lit(heavy[v]))
+        inner = groups.groupBy("_a").agg(F.percentile_approx("_b", points, 10_000).alias("cuts"))
+        step = F.greatest(F.floor(F.lit(slices) / (share + 1)), F.lit(1))
+        thin = F.filter("cuts", lambda c, i: (i + 1) % step == 0)
+        for r in inner.select("_a", thin.alias("cuts")).collect():
+            within[r["_a"]] = sorted(set(r.cuts or []))
     return Cuts(sorted(set(found)), within)
 
 
@@ -74,29 +87,38 @@ def _matches(values: Sequence[float], missing: bool) -> Column:
     return test | F.col("_a").isNull() if missing else test
 
 
-def _place(axis: Column, cuts: Sequence[float], low: int, high: int) -> Column:
-    """Number of cuts below ``axis``, by binary search: a handful of comparisons per row."""
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(axis > F.lit(cuts[middle]), _place(axis, cuts, middle + 1, high)).otherwise(
-        _place(axis, cuts, low, middle)
+def _place(axis: str, cuts: Sequence[float]) -> str:
+    """SQL for the number of cuts below ``axis``: a binary search of a few steps per row.
+
+    The cuts are padded to a power of two less one; an unrolled search would outgrow what the
+    JIT compiles.
+    """
+    if not cuts:
+        return "0"
+    steps = [1]
+    while 2 * steps[0] <= len(cuts):
+        steps.insert(0, 2 * steps[0])
+    padded = [*cuts, *[sys.float_info.max] * (2 * steps[0] - 1 - len(cuts))]
+    listed = ", ".join(f"{c!r}D" for c in padded)
+    return (
+        f"aggregate(array({', '.join(map(str, steps))}), 0, (at, step) -> at + "
+        f"CASE WHEN {axis} > element_at(array({listed}), at + step) THEN step ELSE 0 END)"
     )
 
 
-def with_slice(df: DataFrame, order: Sequence[str], slices: int = SLICES, cuts: Cuts | None = None) -> DataFrame:
+def with_slice(df: DataFrame, order: Sequence[str], cuts: Cuts) -> DataFrame:
     """Slice number of each row, rising in sort order ("-col" descends). Missing values sort lowest."""
-    cuts = quantile_cuts(df, order, slices) if cuts is None else cuts
-    wide = 1 << 12
+    wide = 1 << 16
     first, second = order[0], order[1] if len(order) > 1 else order[0]
     down, down_within = first.startswith("-"), second.startswith("-")
     made = df.withColumns({"_a": _axis(df, first.lstrip("-")), "_b": _axis(df, second.lstrip("-"))})
-    base = F.when(F.col("_a").isNull(), F.lit(0)).otherwise(_place(F.col("_a"), cuts.first, 0, len(cuts.first)) + 1)
+    base = F.expr(f"CASE WHEN _a IS NULL THEN 0 ELSE {_place('_a', cuts.first)} + 1 END")
     # The other rows of a heavy value's slice lie below it.
     part = F.lit(wide - 1 if down else 0)
     for value, inner in cuts.within.items():
-        at = F.when(F.col("_b").isNull(), F.lit(0)).otherwise(_place(F.col("_b"), inner, 0, len(inner)) + 1)
-        part = F.when(F.col("_a").eqNullSafe(F.lit(value).cast("double")), F.lit(len(inner) + 1) - at if down_within else at).otherwise(part)
+        at = F.expr(f"CASE WHEN _b IS NULL THEN 0 ELSE {_place('_b', inner)} + 1 END")
+        here = F.col("_a").eqNullSafe(F.lit(value).cast("double"))
+        part = F.when(here, F.lit(len(inner) + 1) - at if down_within else at).otherwise(part)
     number = (F.lit(len(cuts.first) + 1) - base if down else base) * wide + part
     return made.withColumn("_slice", number).drop("_a", "_b")
 
@@ -111,24 +133,60 @@ def _order(order: Sequence[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
+def _plain(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(_group(keys)).orderBy(*_order(order))
+
+
+def busy_groups(df: DataFrame, keys: Sequence[str], task_rows: int) -> DataFrame | None:
+    """Groups too large for one task, as a table (_group) of at most MAX_BUSY rows; None if there are none.
+
+    One pass over the key columns tells whether any exist, which is the usual end of it.
+    """
+    counts = df.groupBy(_group(keys).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counts.agg(F.max("_n").alias("top"), F.sum("_n").alias("rows")).first()
+    if (sizes.top or 0) <= task_rows:
+        return None
+    limit = max(task_rows, sizes.rows // MAX_BUSY)
+    found = counts.filter(F.col("_n") > limit).select("_group")
+    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def _apart(df: DataFrame, keys: Sequence[str], busy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    marked = df.withColumn("_group", _group(keys))
+    return marked.join(busy, "_group", "left_anti").select(*df.columns), marked.join(busy, "_group", "left_semi").select(*df.columns)
+
+
+def _cuts_for(df: DataFrame, order: Sequence[str], task_rows: int) -> Cuts:
+    rows = df.count()
+    return quantile_cuts(df, order, min(MAX_SLICES, max(2, -(-rows // task_rows))))
+
+
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, slices: int = SLICES
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    task_rows: int = TASK_ROWS,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
-    """``row_number`` for every row without gathering a group in one task.
+    """``row_number`` for every row; groups above ``task_rows`` rows are spread over slices.
 
-    "-col" sorts descending. The first two order columns cut busy groups.
+    "-col" sorts descending. The first two order columns cut busy groups. ``measure`` is a
+    cheaper table with the key and order columns and at least as many rows per group.
     """
-    columns = df.columns
-    cut = with_slice(df, order, slices).withColumn("_group", _group(keys))
+    measure = df if measure is None else measure
+    busy = busy_groups(measure, keys, task_rows)
+    if busy is None:
+        return df.withColumn(name, F.row_number().over(_plain(keys, order)).cast("bigint"))
+    calm, large = _apart(df, keys, busy)
+    cut = with_slice(large, order, _cuts_for(_apart(measure, keys, busy)[1], order, task_rows)).withColumn("_group", _group(keys))
     sizes = cut.groupBy("_group", "_slice").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_group", "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
     local = Window.partitionBy("_group", "_slice").orderBy(*_order(order))
-    return (
-        cut.join(starts, ["_group", "_slice"])
-        .withColumn(name, (F.row_number().over(local) + F.col("_start")).cast("bigint"))
-        .select(*columns, name)
-    )
+    spread = cut.join(starts, ["_group", "_slice"]).withColumn(name, (F.row_number().over(local) + F.col("_start")).cast("bigint"))
+    whole = calm.withColumn(name, F.row_number().over(_plain(keys, order)).cast("bigint"))
+    return whole.unionByName(spread.select(*df.columns, name))
 
 
 def running_before(
@@ -138,53 +196,50 @@ def running_before(
     value: Column,
     how: str,
     name: str,
-    slices: int = SLICES,
+    task_rows: int = TASK_ROWS,
     include_current: bool = False,
-    cuts: Cuts | None = None,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Running ``max``/``min``/``sum``/``last`` of ``value`` over the earlier rows of the group.
 
     ``last`` skips missing values. The order must be total within a group, and its columns
-    all ascend or all descend.
+    all ascend or all descend. Groups above ``task_rows`` rows are spread over slices.
     """
-    columns = df.columns
-    cut = (
-        with_slice(df, order, slices, cuts)
-        .withColumn("_group", _group(keys))
-        .withColumn("_value", value)
-    )
-    position = F.struct(*[F.col(o.lstrip("-")) for o in order])
-    seen = F.col("_value").isNotNull()
-    if how == "last":
+    last = how == "last"
+    fold = {"max": F.max, "min": F.min, "sum": F.sum}.get(how)
+
+    def running(column: str, window: WindowSpec) -> Column:
+        return F.last(column, ignorenulls=True).over(window) if last else fold(column).over(window)
+
+    end = 0 if include_current else -1
+    measure = df if measure is None else measure
+    busy = busy_groups(measure, keys, task_rows)
+    calm, large = (df, None) if busy is None else _apart(df, keys, busy)
+    whole_window = _plain(keys, order).rowsBetween(Window.unboundedPreceding, end)
+    whole = calm.withColumn("_value", value).withColumn(name, running("_value", whole_window)).drop("_value")
+    if large is None:
+        return whole
+    cuts = _cuts_for(_apart(measure, keys, busy)[1], order, task_rows)
+    cut = with_slice(large, order, cuts).withColumn("_group", _group(keys)).withColumn("_value", value)
+    if last:
+        place = F.struct(*[F.col(o.lstrip("-")) for o in order])
         pick = F.min_by if order[0].startswith("-") else F.max_by
-        summary = pick("_value", F.when(seen, position))
-        running = lambda w: F.last("_value", ignorenulls=True).over(w)
-        carry = lambda w: F.last("_summary", ignorenulls=True).over(w)
-        merge = lambda here, before: F.coalesce(here, before)
+        summary = pick("_value", F.when(F.col("_value").isNotNull(), place))
     else:
-        fold = {"max": F.max, "min": F.min, "sum": F.sum}[how]
         summary = fold("_value")
-        running = lambda w: fold("_value").over(w)
-        carry = lambda w: fold("_summary").over(w)
-        if how == "sum":
-            merge = lambda here, before: F.coalesce(here + before, here, before)
-        else:
-            ends = {"max": F.greatest, "min": F.least}[how]
-            merge = lambda here, before: ends(here, before)
     summaries = cut.groupBy("_group", "_slice").agg(summary.alias("_summary"))
     earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carries = summaries.select("_group", "_slice", carry(earlier).alias("_carry"))
-    local = (
-        Window.partitionBy("_group", "_slice")
-        .orderBy(*_order(order))
-        .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    )
-    return (
-        cut.join(carries, ["_group", "_slice"])
-        .withColumn("_here", running(local))
-        .withColumn(name, merge(F.col("_here"), F.col("_carry")))
-        .select(*columns, name)
-    )
+    carries = summaries.select("_group", "_slice", running("_summary", earlier).alias("_carry"))
+    local = Window.partitionBy("_group", "_slice").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, end)
+    here, before = F.col("_here"), F.col("_carry")
+    if last:
+        merged = F.coalesce(here, before)
+    elif how == "sum":
+        merged = F.coalesce(here + before, here, before)
+    else:
+        merged = (F.greatest if how == "max" else F.least)(here, before)
+    spread = cut.join(carries, ["_group", "_slice"]).withColumn("_here", running("_value", local)).withColumn(name, merged)
+    return whole.unionByName(spread.select(*df.columns, name))
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

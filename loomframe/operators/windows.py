@@ -30,7 +30,8 @@ def ranks(df: DataFrame, partition_by: Sequence[str], order: str, tie: Sequence[
     columns, value = df.columns, order.lstrip("-")
     keys = F.struct(F.struct(*partition_by).alias("g"), F.col(value).alias("v"))
     counts = df.groupBy(*partition_by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = row_numbers(running_before(counts, partition_by, [order], F.col("_n"), "sum", "_before"), partition_by, [order], "_dense")
+    summed = running_before(counts, partition_by, [order], F.col("_n"), "sum", "_before", measure=df)
+    ranked = row_numbers(summed, partition_by, [order], "_dense", measure=df)
     totals = df.groupBy(F.struct(*partition_by).alias("_g")).agg(F.count(F.lit(1)).alias("_total"))
     lookup = ranked.select(
         keys.alias("_key"), (F.coalesce("_before", F.lit(0)) + 1).cast("bigint").alias("rank"), F.col("_dense").alias("dense_rank")

@@ -53,7 +53,7 @@ def classify_events(
     firsts = df.groupBy(event_id).agg(F.min(arrival).alias("_first"))
     marked = df.join(firsts, event_id)
     once = marked.filter(F.col(arrival) == F.col("_first")).drop("_first")
-    seen = running_before(once, [aggregate], [arrival], F.col(sequence), "max", "_seen")
+    seen = running_before(once, [aggregate], [arrival], F.col(sequence), "max", "_seen", measure=df)
     stale = F.coalesce(F.col(sequence) <= F.col("_seen"), F.lit(False))
     handled = seen.withColumn(name, F.when(stale, F.lit("stale")).otherwise(F.lit("processed"))).drop("_seen")
     repeats = marked.filter(F.col(arrival) > F.col("_first")).drop("_first").withColumn(name, F.lit("duplicate"))

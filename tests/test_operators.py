@@ -34,7 +34,7 @@ def test_row_numbers_of_busy_keys(spark):
     rows = busy_rows()
     df = spark.createDataFrame(rows, "k int, t int, id int")
     for order, key in ((["t", "id"], lambda r: (r[1], r[2])), (["-t", "id"], lambda r: (-r[1], r[2]))):
-        got = {r.id: r.rn for r in W.row_number(df, ["k"], order, "rn").collect()}
+        got = {r.id: r.rn for r in K.row_numbers(df, ["k"], order, "rn", task_rows=200).collect()}
         groups = defaultdict(list)
         for r in rows:
             groups[r[0]].append(r)
@@ -50,15 +50,15 @@ def test_row_numbers_where_one_value_fills_most_slices(spark):
     for order, first, second in ((["v", "id"], 1, 1), (["-v", "id"], -1, 1), (["v", "-id"], 1, -1), (["-v", "-id"], -1, -1)):
         ranked = sorted(rows, key=lambda r: second * r[2])
         ranked.sort(key=lambda r: low(r[1]), reverse=first < 0)
-        got = {r.id: r.rn for r in K.row_numbers(df, ["k"], order, "rn", slices=16).collect()}
+        got = {r.id: r.rn for r in K.row_numbers(df, ["k"], order, "rn", task_rows=125).collect()}
         assert got == {r[2]: i for i, r in enumerate(ranked, 1)}
-    assert K.with_slice(df, ["v", "id"], 16).groupBy("_slice").count().agg(F.max("count")).first()[0] < 400
+    assert K.with_slice(df, ["v", "id"], K.quantile_cuts(df, ["v", "id"], 16)).groupBy("_slice").count().agg(F.max("count")).first()[0] < 400
 
 
 def test_row_numbers_with_missing_keys_and_times(spark):
     rows = [(None, 1, 1), (None, None, 2), (5, None, 3), (5, 7, 4)]
     df = spark.createDataFrame(rows, "k int, t int, id int")
-    assert {r.id: r.rn for r in W.row_number(df, ["k"], ["t", "id"], "rn").collect()} == {2: 1, 1: 2, 3: 1, 4: 2}
+    assert {r.id: r.rn for r in K.row_numbers(df, ["k"], ["t", "id"], "rn", task_rows=1).collect()} == {2: 1, 1: 2, 3: 1, 4: 2}
 
 
 def test_neighbours_cross_runs(spark):
@@ -80,7 +80,7 @@ def test_neighbours_cross_runs(spark):
 def test_running_values_cross_slices(spark, how):
     rows = [(k, i, (i * 7919) % 101 if i % 4 else None) for i, (k, _, _) in enumerate(busy_rows())]
     df = spark.createDataFrame(rows, "k int, t int, v int")
-    got = {r.t: r.x for r in K.running_before(df, ["k"], ["t"], F.col("v"), how, "x").collect()}
+    got = {r.t: r.x for r in K.running_before(df, ["k"], ["t"], F.col("v"), how, "x", task_rows=100).collect()}
     seen = defaultdict(list)
     for k, t, v in rows:
         past = [p for p in seen[k] if p is not None]
@@ -130,7 +130,7 @@ def test_asof_matches_all_pairs(spark, direction):
         for rows, i in ((left, "lid"), (right, "rid"))
     ]
     joined = asof_join(
-        *frames, ["k"], "ts", "ts", "lid", "rid", lateness=9, left_cache=50, right_cache=20, direction=direction, slices=8
+        *frames, ["k"], "ts", "ts", "lid", "rid", lateness=9, left_cache=50, right_cache=20, direction=direction, task_rows=40
     ).collect()
     expected = asof_by_hand(left, right, 9, direction)
     assert {r.lid: r.rid for r in joined if r.lid is not None and r.rid is not None} == expected
