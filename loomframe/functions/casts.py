@@ -117,7 +117,8 @@ def _integer(body: Column, negative: Column) -> Column:
 
 def parse_decimal(c: Column) -> Column:
     """Number in US or European writing, with currency, percent, sign or brackets."""
-    return _with_number(c, _decimal)
+    plain = text(c).rlike(r"^-?\d+(\.\d+)?$")  # already in the target writing
+    return F.when(plain, text(c).try_cast("double")).otherwise(_with_number(c, _decimal))
 
 
 def parse_integer(c: Column) -> Column:
@@ -148,7 +149,15 @@ def number_kinds(c: Column) -> Column:
             ),
         )
 
-    return _with_number(c, kinds)
+    def both(integer: Column, decimal: Column) -> Column:
+        return F.struct(integer.alias("integer"), decimal.alias("decimal"))
+
+    # Plain writing needs no parsing.
+    return (
+        F.when(text(c).rlike(r"^[+-]?\d+$"), both(text(c).try_cast("bigint").isNotNull(), F.lit(True)))
+        .when(text(c).rlike(r"^[+-]?\d+\.\d+$"), both(F.lit(False), F.lit(True)))
+        .otherwise(_with_number(c, kinds))
+    )
 
 
 _YEAR_FIRST = (
