@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat, line_blocks, mixing, quality_rules, token_counts, url_lists
+from loomframe.llm import chat, line_blocks, minmax_dedup, mixing, quality_rules, token_counts, url_lists
 from loomframe.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,15 @@ def op4_html_extraction(spark, d):
     return line_blocks.extract(read(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+# --- 5: near duplicates
+
+
+@query("op5_minmax_dedup")
+def op5_minmax_dedup(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return minmax_dedup.near_duplicates(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 # --- 8: mixing
 
 _MIX_SQL = f"""
