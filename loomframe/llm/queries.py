@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat, line_blocks, minmax_dedup, mixing, quality_rules, token_counts, url_lists
+from loomframe.llm import chat, cross_entropy, line_blocks, minmax_dedup, mixing, quality_rules, string_tiling, token_counts, toxicity, url_lists
 from loomframe.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 MIX_SHARE, MIX_EPOCHS, MIX_SEED, MIX_CYCLE = 1.5, 2, 17, (5.0, 2.0, 1.0)
 TOKEN_LIMIT = 1024
+TOXIC_FROM = 0.3
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -109,6 +110,16 @@ def op2_quality_rules(spark, d):
     return judged.select(*columns, F.array_join("broken_rules", " ").alias("broken_rules"))
 
 
+# --- 3: LM scoring; the target is what labels call good
+
+
+@query("op3_cross_entropy")
+def op3_cross_entropy(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    targets = cross_entropy.target_ids(read(spark, d, "labels"))
+    return cross_entropy.score(docs, cross_entropy.fit(docs, targets)).drop("text")
+
+
 # --- 4: HTML extraction
 
 
@@ -126,6 +137,26 @@ def op5_minmax_dedup(spark, d):
     return minmax_dedup.near_duplicates(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+# --- 6: benchmark decontamination: every pair of a document and an item that it leaks
+
+
+@query("op6_string_tiling")
+def op6_string_tiling(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return string_tiling.contaminated(docs, read(spark, d, "benchmark").select("item_id", "text"))
+
+
+# --- 7: toxicity
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, d, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model, TOXIC_FROM)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 # --- 8: mixing
 
 _MIX_SQL = f"""
