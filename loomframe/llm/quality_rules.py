@@ -123,3 +123,13 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") ->
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = measured(docs, text).withColumns({"base_failed": base, "broken_rules": F.array_compact(F.array(*broken))})
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
+
+
+def keep(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+    """The documents that no rule rejects, columns as given.
+
+    A filter would be pushed below the measures, with all of them written out inside it again and
+    again; unpacking a row or nothing leaves the projections as they are.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return judge(whole, rules).select(F.inline(F.when(F.col("kept"), F.array("row"))))
