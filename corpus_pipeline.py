@@ -38,8 +38,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
-    return quality_rules.judge(row).filter("kept").select("row.*")
+    return quality_rules.keep(docs)
 
 
 def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
