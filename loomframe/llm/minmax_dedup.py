@@ -9,11 +9,12 @@ Classes that share a band are candidates. Links are confirmed on the full shingl
 1. in every band bucket the least class is the centre; each class is confirmed against its least
    centre, which joins most of a group at once;
 2. remaining centre pairs that lie in different components are confirmed;
-3. buckets that still span components are compared in blocks of bounded size, class against class,
-   by 8-bit sketches of the whole signature; pairs that may reach the threshold are confirmed.
+3. buckets that still span components are compared in blocks of bounded size, each class outside
+   the largest component against all others on full sets; a block gives only links that join
+   components, so nothing grows with the square of a bucket.
 
-No candidate is dropped but those whose sketches lie more than five deviations below the
-threshold, and pairs already in one component, which cannot change it.
+Centre pairs whose 8-bit sketches lie more than five deviations below the threshold are not
+confirmed in steps 1 and 2, nor pairs already in one component, which cannot change it.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. A text with fewer words than a shingle is
 one shingle; without words, or missing, it has none and is linked with nothing. A missing id does
@@ -38,7 +39,7 @@ from loomframe.session import materialize
 
 ROWS, BANDS = 6, 30  # a pair at 0.8 shares no band with probability 1e-4, at 0.85 with 1e-6
 PERMUTATIONS = ROWS * BANDS // 2
-BLOCK = 1024  # classes of a bucket that are compared at once with as many others
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # classes and shingles of a bucket that are held against as many others at once
 SEED = 20_240_607
 TABLE = blank_separated(lower=True)
 
@@ -157,32 +158,49 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter("ca != cb").select("a", "b")
 
 
-def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across components within a bucket, by sketches, in blocks: (key, class, component, n_shingles, sketch)."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+def _links_within(sets: list[np.ndarray], parts: np.ndarray, own: np.ndarray, crossing: bool, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join components of a block; at most one fewer than it has components.
+
+    Every class outside the largest component is held against all classes of other components, on
+    full sets: its shingles are marked, and marks are counted for all others in one pass.
+    """
+    size = np.array([len(s) for s in sets])
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.concatenate([[0], np.cumsum(size)[:-1]])
+    number = np.unique(parts, return_inverse=True)[1]
+    found: list[tuple[int, int]] = []
+    for i in np.flatnonzero(number != np.bincount(number).argmax()):
+        mark = np.zeros(len(every), np.int64)
+        mark[place[begins[i] : begins[i] + size[i]]] = 1
+        common = np.add.reduceat(mark[place], begins)
+        near = (100 * common >= percent * (size + size[i] - common)) & (number != number[i])
+        if crossing:
+            near &= own != own[i]
+        for j in np.flatnonzero(near):
+            if number[j] != number[i]:
+                found.append((i, j))
+                number[number == number[j]] = number[i]
+    return found
+
+
+def _block_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links across components within a bucket, in blocks of bounded rows and shingles: (key, class, component, n_shingles)."""
+    heavy = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    sizes = members.groupBy("key").agg(heavy.alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", others).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    least = _agreeing(threshold)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, parts, own = group["class"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
-        number = pd.factorize(parts)[0]
-        sizes = group["n_shingles"].to_numpy()
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        ids, own = group["class"].to_numpy(), group["own"].to_numpy()
+        sets = shingle_sets(pa.array(group["text"], pa.string()), n)
         crossing = group["low"].iat[0] != group["high"].iat[0]
-        found: list[tuple[bytes, bytes]] = []
-        for i in range(len(group)):
-            rest = (number != number[i]) & (np.minimum(sizes, sizes[i]) >= threshold * np.maximum(sizes, sizes[i]))
-            rest &= (own > own[i]) if crossing else (np.arange(len(group)) > i)
-            spots = np.flatnonzero(rest)
-            spots = spots[(sketch[spots] == sketch[i]).sum(axis=1) >= least]
-            found += [(ids[i], ids[j]) for j in spots]
-        return pd.DataFrame(found, columns=["a", "b"])
+        links = _links_within(sets, group["component"].to_numpy(), own, crossing, percent)
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in links], columns=["a", "b"])
 
-    columns = ["key", "low", "high", "own", "class", "component", "n_shingles", "sketch"]
-    pairs = dealt.select(*columns).groupBy("key", "low", "high").applyInPandas(compare, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    columns = ["key", "low", "high", "own", "class", "component", "text"]
+    pairs = dealt.join(texts, "class").select(*columns).groupBy("key", "low", "high").applyInPandas(compare, "a binary, b binary")
+    return pairs.distinct()
 
 
 def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -218,8 +236,8 @@ def classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     # Buckets of three and more that still span components hold pairs that no centre has seen.
     spread = _labelled(members.filter("n > 2").select("key", "class"), labels, "class", "component")
     mixed_up = spread.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    open_members = spread.join(mixed_up, "key", "left_semi").join(near.select("class", "n_shingles", "sketch"), "class")
-    last = materialize(_confirmed(_block_pairs(open_members, threshold), texts, shingle, percent), "dedup-links")
+    open_members = spread.join(mixed_up, "key", "left_semi").join(near.select("class", "n_shingles"), "class")
+    last = materialize(_block_links(open_members, texts, shingle, percent), "dedup-links")
     if not last.isEmpty():
         labels = components(links.unionByName(last))
     return _labelled(rows.select("doc_id", "row_key", "n_shingles", "class"), labels, "class", "component")
