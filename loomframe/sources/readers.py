@@ -138,8 +138,10 @@ def list_media(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_page(df: DataFrame, columns: Sequence[str], by: Sequence[str], rows: int) -> DataFrame:
-    """The first rows of a total order; at most 10,000 as a page."""
-    return df.select(*columns).sort(*by).limit(min(rows, MAX_PAGE_ROWS))
+    """The first rows of a total order; a page of more than MAX_PAGE_ROWS rows is refused."""
+    if rows > MAX_PAGE_ROWS:
+        raise ValueError(f"a page holds at most {MAX_PAGE_ROWS} rows")
+    return df.select(*columns).sort(*by).limit(rows)
 
 
 def extract_after(
