@@ -112,9 +112,12 @@ def apply_policy(
     mask: Sequence[str] = (),
     mask_value: Any = None,
 ) -> DataFrame:
-    """Allowed rows with the listed columns replaced by the mask value."""
+    """Allowed rows with the listed columns replaced by the mask value, in the type of the column.
+
+    A mask value that the type cannot hold fails the query.
+    """
     kinds = dict(df.dtypes)
-    hidden = {c: F.lit(mask_value).cast(kinds[c] if mask_value is None else "string") for c in mask if c in kinds}
+    hidden = {c: F.lit(mask_value).cast(kinds[c]) for c in mask if c in kinds}
     kept = df.filter(policy_condition(df, rules, operator, mode))
     return kept.withColumns(hidden) if hidden else kept
 

@@ -1,126 +1,22 @@
 """Ordered work over groups of any size.
 
 A plain window puts a whole group into one task, which is right for small groups. The few
-groups that are too large are found first; their order axis is cut at quantiles, each (group,
-slice) is worked on by itself and only one summary row per slice is carried from slice to
-slice, so a group holding a third of the table still spreads over the cluster.
+groups that are too large are found first and dealt into ranges of their real order columns;
+each (group, range) is worked on by itself and only one summary row per range is carried on, so
+a group holding a third of the table still spreads over the cluster.
 """
 
 from __future__ import annotations
 
-import sys
-from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-# Rows of one group that one task takes; busier groups are cut. At most this many groups are
-# ever listed as busy, and this many slices made, whatever the size of the table.
-TASK_ROWS = 2_000_000
-MAX_BUSY = 10_000
-MAX_SLICES = 1_000
+from loomframe.session import materialize
 
-
-def _axis(df: DataFrame, name: str) -> Column:
-    """The order column as a number that never reverses its order.
-
-    Text counts by its first six bytes, so longer equal beginnings share a number.
-    """
-    kind = dict(df.dtypes)[name]
-    col = F.col(name)
-    if kind.startswith("timestamp"):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(col).cast("double")
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return col.cast("double")
-
-
-@dataclass(frozen=True)
-class Cuts:
-    """Where an order is cut: places on the first axis, and inside values that alone fill slices."""
-
-    first: list[float]
-    within: dict[float | None, list[float]]
-
-
-def quantile_cuts(df: DataFrame, order: Sequence[str], slices: int) -> Cuts:
-    """Cut points by quantile: one job over the first order column.
-
-    When single values (or missing ones) hold whole slices, a second job over those rows cuts
-    them by the next order column, in proportion. At most ``slices`` arrays reach the driver,
-    thinned to about ``slices`` numbers altogether.
-    """
-    names = [o.lstrip("-") for o in order]
-    points = [i / slices for i in range(1, slices)]
-    axis = _axis(df, names[0])
-    row = df.agg(
-        F.percentile_approx(axis, points, 10_000).alias("cuts"), F.count(F.lit(1)).alias("rows"), F.count(axis).alias("known")
-    ).first()
-    found = list(row.cuts or [])
-    heavy: dict[float | None, int] = {v: n for v, n in Counter(found).items() if n > 1}
-    if (row.rows - row.known) * slices > row.rows:
-        heavy[None] = slices
-    within: dict[float | None, list[float]] = {}
-    if heavy and len(names) > 1:
-        known = [v for v in heavy if v is not None]
-        groups = df.select(axis.alias("_a"), _axis(df, names[1]).alias("_b")).filter(
-            _matches(known, None in heavy)
-        )
-        share = F.when(F.col("_a").isNull(), F.lit(heavy.get(None, 1)))
-        for v in known:
-            share = share.when(F.col("_a") == F.lit(v), F.lit(heavy[v]))
-        inner = groups.groupBy("_a").agg(F.percentile_approx("_b", points, 10_000).alias("cuts"))
-        step = F.greatest(F.floor(F.lit(slices) / (share + 1)), F.lit(1))
-        thin = F.filter("cuts", lambda c, i: (i + 1) % step == 0)
-        for r in inner.select("_a", thin.alias("cuts")).collect():
-            within[r["_a"]] = sorted(set(r.cuts or []))
-    return Cuts(sorted(set(found)), within)
-
-
-def _matches(values: Sequence[float], missing: bool) -> Column:
-    test = F.coalesce(F.col("_a").isin(list(values)), F.lit(False)) if values else F.lit(False)
-    return test | F.col("_a").isNull() if missing else test
-
-
-def _place(axis: str, cuts: Sequence[float]) -> str:
-    """SQL for the number of cuts below ``axis``: a binary search of a few steps per row.
-
-    The cuts are padded to a power of two less one; an unrolled search would outgrow what the
-    JIT compiles.
-    """
-    if not cuts:
-        return "0"
-    steps = [1]
-    while 2 * steps[0] <= len(cuts):
-        steps.insert(0, 2 * steps[0])
-    padded = [*cuts, *[sys.float_info.max] * (2 * steps[0] - 1 - len(cuts))]
-    listed = ", ".join(f"{c!r}D" for c in padded)
-    return (
-        f"aggregate(array({', '.join(map(str, steps))}), 0, (at, step) -> at + "
-        f"CASE WHEN {axis} > element_at(array({listed}), at + step) THEN step ELSE 0 END)"
-    )
-
-
-def with_slice(df: DataFrame, order: Sequence[str], cuts: Cuts) -> DataFrame:
-    """Slice number of each row, rising in sort order ("-col" descends). Missing values sort lowest."""
-    wide = 1 << 16
-    first, second = order[0], order[1] if len(order) > 1 else order[0]
-    down, down_within = first.startswith("-"), second.startswith("-")
-    made = df.withColumns({"_a": _axis(df, first.lstrip("-")), "_b": _axis(df, second.lstrip("-"))})
-    base = F.expr(f"CASE WHEN _a IS NULL THEN 0 ELSE {_place('_a', cuts.first)} + 1 END")
-    # The other rows of a heavy value's slice lie below it.
-    part = F.lit(wide - 1 if down else 0)
-    for value, inner in cuts.within.items():
-        at = F.expr(f"CASE WHEN _b IS NULL THEN 0 ELSE {_place('_b', inner)} + 1 END")
-        here = F.col("_a").eqNullSafe(F.lit(value).cast("double"))
-        part = F.when(here, F.lit(len(inner) + 1) - at if down_within else at).otherwise(part)
-    number = (F.lit(len(cuts.first) + 1) - base if down else base) * wide + part
-    return made.withColumn("_slice", number).drop("_a", "_b")
+TASK_ROWS = 2_000_000  # rows of one group that one task takes; busier groups are cut
 
 
 def _group(keys: Sequence[str]) -> Column:
@@ -138,17 +34,13 @@ def _plain(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
 
 
 def busy_groups(df: DataFrame, keys: Sequence[str], task_rows: int) -> DataFrame | None:
-    """Groups too large for one task, as a table (_group) of at most MAX_BUSY rows; None if there are none.
+    """Groups too large for one task, as a written table (_group); None if there are none.
 
     One pass over the key columns tells whether any exist, which is the usual end of it.
     """
     counts = df.groupBy(_group(keys).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.agg(F.max("_n").alias("top"), F.sum("_n").alias("rows")).first()
-    if (sizes.top or 0) <= task_rows:
-        return None
-    limit = max(task_rows, sizes.rows // MAX_BUSY)
-    found = counts.filter(F.col("_n") > limit).select("_group")
-    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+    busy = counts.filter(F.col("_n") > task_rows).select("_group")
+    return None if busy.isEmpty() else materialize(busy, "busy-groups")
 
 
 def _apart(df: DataFrame, keys: Sequence[str], busy: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,9 +48,16 @@ def _apart(df: DataFrame, keys: Sequence[str], busy: DataFrame) -> tuple[DataFra
     return marked.join(busy, "_group", "left_anti").select(*df.columns), marked.join(busy, "_group", "left_semi").select(*df.columns)
 
 
-def _cuts_for(df: DataFrame, order: Sequence[str], task_rows: int) -> Cuts:
-    rows = df.count()
-    return quantile_cuts(df, order, min(MAX_SLICES, max(2, -(-rows // task_rows))))
+def ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with ``_group`` and ``_slice``: consecutive ranges of group and order, each a part of one shuffle.
+
+    A hash of the row parts those that tie; only rows equal in every column stay together. The
+    ranges are written once, so that all later steps see the same ones.
+    """
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ties = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    ranged = df.withColumn("_group", _group(keys)).repartitionByRange(slices, F.col("_group").asc(), *_order(order), ties.asc())
+    return materialize(ranged.withColumn("_slice", F.spark_partition_id()), "ranges")
 
 
 def row_numbers(
@@ -171,15 +70,15 @@ def row_numbers(
 ) -> DataFrame:
     """``row_number`` for every row; groups above ``task_rows`` rows are spread over slices.
 
-    "-col" sorts descending. The first two order columns cut busy groups. ``measure`` is a
-    cheaper table with the key and order columns and at least as many rows per group.
+    "-col" sorts descending. ``measure`` is a cheaper table with the key columns and at least as
+    many rows per group.
     """
     measure = df if measure is None else measure
     busy = busy_groups(measure, keys, task_rows)
     if busy is None:
         return df.withColumn(name, F.row_number().over(_plain(keys, order)).cast("bigint"))
     calm, large = _apart(df, keys, busy)
-    cut = with_slice(large, order, _cuts_for(_apart(measure, keys, busy)[1], order, task_rows)).withColumn("_group", _group(keys))
+    cut = ranges(large, keys, order)
     sizes = cut.groupBy("_group", "_slice").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_group", "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
@@ -203,7 +102,8 @@ def running_before(
     """Running ``max``/``min``/``sum``/``last`` of ``value`` over the earlier rows of the group.
 
     ``last`` skips missing values. The order must be total within a group, and its columns
-    all ascend or all descend. Groups above ``task_rows`` rows are spread over slices.
+    all ascend or all descend. Groups above ``task_rows`` rows are spread over slices; their
+    sums of doubles are added slice by slice.
     """
     last = how == "last"
     fold = {"max": F.max, "min": F.min, "sum": F.sum}.get(how)
@@ -219,8 +119,7 @@ def running_before(
     whole = calm.withColumn("_value", value).withColumn(name, running("_value", whole_window)).drop("_value")
     if large is None:
         return whole
-    cuts = _cuts_for(_apart(measure, keys, busy)[1], order, task_rows)
-    cut = with_slice(large, order, cuts).withColumn("_group", _group(keys)).withColumn("_value", value)
+    cut = ranges(large, keys, order).withColumn("_value", value)
     if last:
         place = F.struct(*[F.col(o.lstrip("-")) for o in order])
         pick = F.min_by if order[0].startswith("-") else F.max_by

@@ -63,9 +63,10 @@ def neighbours(
 
     ``columns`` holds window calls without their OVER clause, and optionally a ROWS frame after
     a ``|``: ``lag(x)``, ``avg(x) | ROWS BETWEEN 2 PRECEDING AND CURRENT ROW``. Groups are cut
-    into runs of ``chunk`` rows, each with copies of its few neighbouring rows, so that no run
-    grows with its group.
+    into runs of ``chunk`` rows (``before`` or ``after`` if those are more), each with copies of
+    its few neighbouring rows, so that no run grows with its group.
     """
+    chunk = max(chunk, before, after, 1)
     numbered = row_numbers(df, partition_by, order, "_rn").withColumn("_group", _group(partition_by))
     place = F.col("_rn") - 1
     home, offset = F.floor(place / chunk), place % chunk

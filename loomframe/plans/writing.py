@@ -98,6 +98,40 @@ def write_changelog(spark, d):
     return _committed(spark, d, "changelog", _arriving(spark, d))
 
 
+@query(
+    "write_changelog_resent",
+    f"""{_SIDES} SELECT * FROM loaded UNION ALL
+    (SELECT a.* FROM arriving a LEFT JOIN loaded l USING (o_orderkey)
+     WHERE l.o_orderkey IS NULL OR a.o_totalprice IS DISTINCT FROM l.o_totalprice)""",
+)
+def write_changelog_resent(spark, d):
+    """The same arriving rows again add no version."""
+    root = new_path(spark, "changelog-resent")
+    S.commit(_loaded(spark, d), root)
+    for _ in range(2):
+        S.commit(_arriving(spark, d), root, "changelog", KEYS)
+    return S.read_dataset(spark, root)
+
+
+@query(
+    "write_append_new_column",
+    f"""{_SIDES} SELECT *, CAST(NULL AS VARCHAR) AS origin FROM loaded
+    UNION ALL SELECT *, 'arriving' FROM arriving""",
+)
+def write_append_new_column(spark, d):
+    return _committed(spark, d, "always_append", _arriving(spark, d).withColumn("origin", F.lit("arriving")))
+
+
+@query(
+    "write_replace_stored_column",
+    f"""{_SIDES} SELECT l.* FROM loaded l ANTI JOIN arriving a USING (o_orderkey)
+    UNION ALL SELECT o_orderkey, o_custkey, CAST(NULL AS VARCHAR), o_totalprice FROM arriving""",
+)
+def write_replace_stored_column(spark, d):
+    """A column that only the stored side has stays."""
+    return _committed(spark, d, "snapshot_replace", _arriving(spark, d).drop("o_orderstatus"))
+
+
 @query(
     "write_snapshot_difference",
     f"{_SIDES} SELECT a.* FROM arriving a ANTI JOIN loaded l USING (o_orderkey)",

@@ -51,11 +51,13 @@ def watermark_delta(df: DataFrame, column: str, previous: Any = None) -> DataFra
 def snapshot_delta(old: DataFrame, new: DataFrame, keys: Sequence[str], unchanged: bool = False) -> DataFrame:
     """Row changes between two snapshots: ``change_type`` added, modified or deleted.
 
-    Values are the new ones, for deleted rows the old ones. Keys are unique on each side.
+    Values are the new ones, for deleted rows the old ones. Keys are unique on each side. A column
+    that one side lacks counts as missing there.
     """
-    values = [c for c in new.columns if c not in keys]
-    before = align(old, dict(new.dtypes)).select(*keys, F.struct(F.lit(True).alias("_there"), *values).alias("_old"))
-    after = new.select(*keys, F.struct(F.lit(True).alias("_there"), *values).alias("_new"))
+    schema = dict(new.dtypes) | {c: t for c, t in old.dtypes if c not in new.columns}
+    values = [c for c in schema if c not in keys]
+    before = align(old, schema).select(*keys, F.struct(F.lit(True).alias("_there"), *values).alias("_old"))
+    after = align(new, schema).select(*keys, F.struct(F.lit(True).alias("_there"), *values).alias("_new"))
     kind = (
         F.when(F.col("_old").isNull(), F.lit("added"))
         .when(F.col("_new").isNull(), F.lit("deleted"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,17 +45,25 @@ def _keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _unique(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None) -> DataFrame:
+    """One row per key: the greatest by ``order``, then by the other columns."""
+    from loomframe.operators.skew import latest
+
+    rest = [c for c, kind in df.dtypes if c not in keys and "map<" not in kind and "variant" not in kind]
     if not keys:
         return df
-    if order:
-        from loomframe.operators.skew import latest
+    if not rest:
+        return df.dropDuplicates(list(keys))
+    return latest(df, keys, [*(order or ()), *[c for c in rest if c not in (order or ())]])
+
 
-        return latest(df, keys, order)
-    return df.dropDuplicates(list(keys))
+def _both(existing: DataFrame, incoming: DataFrame) -> dict[str, str]:
+    """Columns of either side, the incoming ones first."""
+    return dict(incoming.dtypes) | {c: t for c, t in existing.dtypes if c not in incoming.columns}
 
 
-def _like(existing: DataFrame | None, incoming: DataFrame) -> DataFrame | None:
-    return None if existing is None else align(existing, dict(incoming.dtypes))
+def _current(existing: DataFrame, keys: Sequence[str], version: str | None) -> DataFrame:
+    """One stored row per key: of the newest version, and there the greatest."""
+    return _unique(existing, keys, [version] if version else None).drop(version or "")
 
 
 def append_only_new_rows(
@@ -65,13 +74,17 @@ def append_only_new_rows(
     return fresh if existing is None or not keys else fresh.join(_keys(existing, keys), list(keys), "left_anti")
 
 
-def changelog(existing: DataFrame | None, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incoming rows that are new or differ from the existing row; duplicates in the input stay."""
+def changelog(existing: DataFrame | None, incoming: DataFrame, keys: Sequence[str], version: str | None = None) -> DataFrame:
+    """Incoming rows that are new or differ from the existing row; duplicates in the input stay.
+
+    Of several existing rows of a key the newest by the column ``version`` counts.
+    """
     if existing is None or not keys:
         return incoming
     tracked = [c for c in incoming.columns if c not in keys]
-    old = _like(existing, incoming).select(*keys, F.struct(F.lit(1).alias("_there"), *tracked).alias("_old"))
-    joined = incoming.join(old.dropDuplicates(list(keys)), list(keys), "left")
+    old = align(_current(existing, keys, version), dict(incoming.dtypes))
+    old = old.select(*keys, F.struct(F.lit(1).alias("_there"), *tracked).alias("_old"))
+    joined = incoming.join(old, list(keys), "left")
     different = [~F.col(c).eqNullSafe(F.col(f"_old.{c}")) for c in tracked]
     keep = reduce(Column.__or__, different, F.col("_old").isNull())
     return joined.filter(keep).select(*incoming.columns)
@@ -83,14 +96,28 @@ def snapshot_difference(existing: DataFrame | None, incoming: DataFrame, keys: S
 
 
 def snapshot_replace(
-    existing: DataFrame | None, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None
+    existing: DataFrame | None,
+    incoming: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str] | None = None,
+    version: str | None = None,
 ) -> DataFrame:
-    """Upsert: existing rows with untouched keys, plus the deduplicated input."""
+    """Upsert: existing rows with untouched keys, plus the deduplicated input.
+
+    The result has the columns of both sides. Of several existing rows of a key the newest by the
+    column ``version`` stays.
+    """
     fresh = _unique(incoming, keys, order)
     if existing is None or not keys:
         return fresh
-    kept = _like(existing, incoming).dropDuplicates(list(keys)).join(_keys(fresh, keys), list(keys), "left_anti")
-    return kept.unionByName(fresh)
+    return _upserted(existing, fresh, _keys(fresh, keys), keys, version)
+
+
+def _upserted(existing: DataFrame, fresh: DataFrame, touched: DataFrame, keys: Sequence[str], version: str | None) -> DataFrame:
+    stored = _current(existing, keys, version)
+    schema = _both(stored, fresh)
+    kept = stored.join(touched, list(keys), "left_anti")
+    return align(kept, schema).unionByName(align(fresh, schema))
 
 
 def snapshot_replace_and_remove(
@@ -99,10 +126,11 @@ def snapshot_replace_and_remove(
     keys: Sequence[str],
     flag: str,
     order: Sequence[str] | None = None,
+    version: str | None = None,
 ) -> DataFrame:
     """Upsert rows whose flag is truthy and remove keys whose flag says no (false removes).
 
-    A row with a missing flag does neither.
+    A row with a missing flag does neither. Columns and ``version`` as in ``snapshot_replace``.
     """
     says_no = F.lower(F.trim(F.col(flag).cast("string"))).isin(*FALSE_FLAGS)
     fresh = _unique(incoming.filter(~says_no), keys, order)
@@ -110,8 +138,7 @@ def snapshot_replace_and_remove(
         return fresh
     gone = incoming.filter(says_no).select(*keys)
     touched = fresh.select(*keys).unionByName(gone).distinct()
-    kept = _like(existing, incoming).dropDuplicates(list(keys)).join(touched, list(keys), "left_anti")
-    return kept.unionByName(fresh)
+    return _upserted(existing, fresh, touched, keys, version)
 
 
 def resolve(
@@ -121,22 +148,23 @@ def resolve(
     keys: Sequence[str] = (),
     flag: str | None = None,
     order: Sequence[str] | None = None,
+    version: str | None = None,
 ) -> DataFrame:
-    """The rows that a write mode puts down."""
+    """The rows that a write mode puts down; ``version`` names a column of ``existing``."""
     if mode in ("overwrite", "append", "always_append"):
         return incoming
     if mode == "append_only_new_rows":
         return append_only_new_rows(existing, incoming, keys, order)
     if mode == "changelog":
-        return changelog(existing, incoming, keys)
+        return changelog(existing, incoming, keys, version)
     if mode == "snapshot_difference":
         return snapshot_difference(existing, incoming, keys)
     if mode == "snapshot_replace":
-        return snapshot_replace(existing, incoming, keys, order)
+        return snapshot_replace(existing, incoming, keys, order, version)
     if mode == "snapshot_replace_and_remove":
         if not flag:
             raise ValueError("snapshot_replace_and_remove needs the flag column")
-        return snapshot_replace_and_remove(existing, incoming, keys, flag, order)
+        return snapshot_replace_and_remove(existing, incoming, keys, flag, order, version)
     raise ValueError(f"unknown write mode: {mode}")
 
 
@@ -156,11 +184,12 @@ def _versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
 
 
 def read_dataset(
-    spark: SparkSession, root: str, since: int | None = None, as_of: int | None = None
+    spark: SparkSession, root: str, since: int | None = None, as_of: int | None = None, version: str | None = None
 ) -> DataFrame | None:
     """Current rows of a versioned dataset, or with ``since`` only rows added by later commits.
 
-    Only the needed commit folders are listed and read. None when nothing qualifies.
+    Only the needed commit folders are listed and read. Columns are those of any commit read;
+    ``version`` adds the number of the commit under that name. None when nothing qualifies.
     """
     commits = [c for c in _versions(spark, root) if as_of is None or c[0] <= as_of]
     if since is not None:
@@ -169,7 +198,25 @@ def read_dataset(
         starts = [i for i, (_, kind) in enumerate(commits) if kind == "snapshot"]
         wanted = commits[starts[-1] :] if starts else commits
     paths = [f"{root}/v{number:08d}-{kind}" for number, kind in wanted]
-    return spark.read.parquet(*paths) if paths else None
+    if not paths:
+        return None
+    rows = spark.read.option("mergeSchema", True).parquet(*paths)
+    number = F.regexp_extract("_metadata.file_path", r"/v(\d+)-[a-z]+/[^/]*$", 1).cast("bigint")
+    return rows.select("*", number.alias(version)) if version else rows
+
+
+def _claim(spark: SparkSession, root: str, number: int) -> int:
+    """The first version number from ``number`` on that no other writer has taken; its marker stays."""
+    while True:
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_taken/{number:08d}")
+        fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+        try:
+            fs.create(marker, False).close()
+            return number
+        except Py4JJavaError:
+            if not fs.exists(marker):
+                raise
+            number += 1
 
 
 def commit(
@@ -180,15 +227,20 @@ def commit(
     flag: str | None = None,
     order: Sequence[str] | None = None,
 ) -> int | None:
-    """Write one new version; earlier versions stay readable. None when an append adds no rows."""
+    """Write one new version; earlier versions stay readable. None when an append adds no rows.
+
+    Writers at one time get numbers of their own; neither overwrites the other's folder.
+    """
     spark = incoming.sparkSession
     commits = _versions(spark, root)
-    rows = resolve(mode, read_dataset(spark, root), incoming, keys, flag, order)
+    named = mode == "changelog" or mode.startswith("snapshot_replace")
+    existing = read_dataset(spark, root, version="_version") if named else read_dataset(spark, root)
+    rows = resolve(mode, existing, incoming, keys, flag, order, "_version" if named else None)
     if mode in APPENDING and commits and rows.isEmpty():
         return None
-    number = (commits[-1][0] if commits else 0) + 1
+    number = _claim(spark, root, (commits[-1][0] if commits else 0) + 1)
     kind = "append" if mode in APPENDING else "snapshot"
-    write_files(rows, f"{root}/v{number:08d}-{kind}")
+    write_files(rows, f"{root}/v{number:08d}-{kind}", mode="errorifexists")
     return number
 
 

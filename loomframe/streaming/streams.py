@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from loomframe.operators.joins import _right_names
-from loomframe.operators.skew import earliest, latest, running_before
+from loomframe.operators.skew import earliest, latest, row_numbers, running_before
 
 # Lag limits of a healthy stream, in messages.
 HEALTHY_MEAN_LAG, HEALTHY_MAX_LAG = 1000, 5000
@@ -47,16 +47,16 @@ def classify_events(
 ) -> DataFrame:
     """``processed``, ``duplicate`` or ``stale`` per arriving event, for a batch.
 
-    An event id counts once (its first arrival). An event is stale when its sequence does not
-    exceed every earlier one of the aggregate. Busy aggregates are cut along the arrival axis.
+    An event id counts once: its first arrival, of several at one time the one with the least
+    sequence. An event is stale when its sequence does not exceed every earlier one of the
+    aggregate. Busy ids and aggregates are cut along the arrival axis.
     """
-    firsts = df.groupBy(event_id).agg(F.min(arrival).alias("_first"))
-    marked = df.join(firsts, event_id)
-    once = marked.filter(F.col(arrival) == F.col("_first")).drop("_first")
-    seen = running_before(once, [aggregate], [arrival], F.col(sequence), "max", "_seen", measure=df)
+    numbered = row_numbers(df, [event_id], [arrival, sequence], "_nth")
+    once = numbered.filter("_nth = 1").drop("_nth")
+    seen = running_before(once, [aggregate], [arrival, event_id], F.col(sequence), "max", "_seen", measure=df)
     stale = F.coalesce(F.col(sequence) <= F.col("_seen"), F.lit(False))
     handled = seen.withColumn(name, F.when(stale, F.lit("stale")).otherwise(F.lit("processed"))).drop("_seen")
-    repeats = marked.filter(F.col(arrival) > F.col("_first")).drop("_first").withColumn(name, F.lit("duplicate"))
+    repeats = numbered.filter("_nth > 1").drop("_nth").withColumn(name, F.lit("duplicate"))
     return handled.unionByName(repeats)
 
 

@@ -72,6 +72,30 @@ def test_commits_versions_and_empty_append(spark):
     assert S.read_dataset(spark, root, since=3) is None
 
 
+def test_stored_and_new_columns_stay(spark):
+    root = new_path(spark, "columns")
+    S.commit(spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, v string, extra string"), root)
+    S.commit(spark.createDataFrame([(2, "B")], "id int, v string"), root, "snapshot_replace", ["id"])
+    S.commit(spark.createDataFrame([(3, "c", 7)], "id int, v string, n int"), root, "always_append")
+    rows = S.read_dataset(spark, root)
+    assert {(r.id, r.v, r.extra, r.n) for r in rows.collect()} == {(1, "a", "x", None), (2, "B", None, None), (3, "c", None, 7)}
+    assert [r.version for r in S.read_dataset(spark, root, version="version").filter("id = 3").collect()] == [3]
+
+
+def test_changelog_compares_with_the_newest_version(spark):
+    root = new_path(spark, "resent")
+    for v, number in (("a", 1), ("b", 2), ("b", None), ("a", 3)):
+        assert S.commit(spark.createDataFrame([(1, v)], "id int, v string"), root, "changelog", ["id"]) == number
+
+
+def test_two_writers_of_one_number(spark):
+    root = new_path(spark, "race")
+    assert S.commit(spark.createDataFrame([(1,)], "id int"), root) == 1
+    assert S._claim(spark, root, 2) == 2  # another writer, still at work
+    assert S.commit(spark.createDataFrame([(2,)], "id int"), root, "always_append") == 3
+    assert sorted(r.id for r in S.read_dataset(spark, root).collect()) == [1, 2]
+
+
 def test_remove_flag_polarity_and_missing_flag(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", None)], "id int, v string, keep string")
     new = spark.createDataFrame([(1, "A", "yes"), (2, "B", "off"), (3, "C", None)], "id int, v string, keep string")
