@@ -42,7 +42,7 @@ def metric(kind: str, column: str | None = None, fraction: float | None = None)
 
 
 def group_exact(
-    df: DataFrame, column: str, metrics: Mapping[str, Column] | None = None, max_groups: int = 100
+    df: DataFrame, column: str, metrics: Mapping[str, Column] | None = None, *, max_groups: int
 ) -> DataFrame:
     """The most frequent values with their count and metrics."""
     made = [m.alias(a) for a, m in (metrics or {}).items()]
@@ -53,7 +53,10 @@ def group_exact(
 def group_fixed_width(
     df: DataFrame, column: str, width: float, metrics: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Counts per bucket ``[k*width, (k+1)*width)``, empty buckets between the ends included."""
+    """Counts per bucket ``[k*width, (k+1)*width)``, empty buckets between the ends included.
+
+    The two ends reach the driver; the buckets between them are made by all tasks.
+    """
     made = {a: m for a, m in (metrics or {}).items()}
     step = F.floor(F.col(column) / F.lit(width)).cast("bigint")
     filled = (
@@ -62,10 +65,9 @@ def group_fixed_width(
         .groupBy("_step")
         .agg(F.count(F.lit(1)).alias("count"), *[m.alias(a) for a, m in made.items()])
     )
-    ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).select(
-        *[F.floor(F.col(c) / F.lit(width)).cast("bigint").alias(c) for c in ("low", "high")]
-    )
-    spine = ends.filter(F.col("low").isNotNull()).select(F.explode(F.sequence("low", "high")).alias("_step"))
+    ends = df.agg(F.min(step).alias("low"), F.max(step).alias("high")).first()
+    known = ends.low is not None
+    spine = df.sparkSession.range(ends.low if known else 0, ends.high + 1 if known else 0).withColumnRenamed("id", "_step")
     return spine.join(filled, "_step", "left").select(
         (F.col("_step") * F.lit(width)).alias("bucket"), F.coalesce("count", F.lit(0)).alias("count"), *made
     )
@@ -104,7 +106,7 @@ def group_ranges(
     return listed.groupBy("range").agg(F.count(F.lit(1)).alias("count"), *[m.alias(a) for a, m in made.items()])
 
 
-def group_nested(df: DataFrame, columns: Sequence[str], max_groups: int = 100) -> DataFrame:
+def group_nested(df: DataFrame, columns: Sequence[str], max_groups: int) -> DataFrame:
     """Up to three nested dimensions, each level keeping its most frequent values."""
     if not 1 <= len(columns) <= 3:
         raise ValueError("one to three grouping columns")
@@ -165,7 +167,7 @@ def stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs)))
 
 
-def top_values(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
+def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     """The ``k`` most frequent non-empty values of each column; ties by value."""
     counted = stacked(df, columns).filter(F.col("value") != "").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     return top_per_group(counted, ["column"], ["-count", "value"], k)
@@ -204,7 +206,7 @@ def numeric_similarity(source: DataFrame, source_column: str, target: DataFrame,
     return one.select(F.coalesce(F.when(enough, score), F.lit(0.0)).alias("similarity"))
 
 
-def categorical_similarity(source: DataFrame, source_column: str, target: DataFrame, target_column: str, k: int = 20) -> DataFrame:
+def categorical_similarity(source: DataFrame, source_column: str, target: DataFrame, target_column: str, k: int) -> DataFrame:
     """0.6 * Jaccard + 0.4 * overlap of the ``k`` most frequent values."""
 
     def most(df: DataFrame, column: str, name: str) -> DataFrame:

@@ -79,6 +79,27 @@ def replay(
     return states
 
 
+def replay_fields(events: DataFrame, aggregate: str, kind: str, sequence: str, time: str, event_id: str, payload: str) -> DataFrame:
+    """(aggregate, field, value) for every field that any payload names, as ``replay`` settles it."""
+    place = F.struct(F.col(sequence), F.col(time), F.col(event_id))
+    is_create = F.col(kind).isin(*CREATES)
+    marked = _since_origin(events.withColumn("_place", place), aggregate, F.max(F.when(is_create, place)))
+    live = F.col("_origin").isNull() | (F.col("_place") >= F.col("_origin"))
+    written = marked.filter(live & (is_create | (F.col(kind) == UPDATE)))
+    long = written.select(aggregate, "_place", F.explode(payload).alias("field", "value"))
+    return long.groupBy(aggregate, "field").agg(F.max_by("value", "_place").alias("value"))
+
+
+def replay_deletes(events: DataFrame, aggregate: str, kind: str, sequence: str, time: str, event_id: str, author: str) -> DataFrame:
+    """(aggregate, deleted_at, deleted_by) of every aggregate that is deleted after its events."""
+    place = F.struct(F.col(sequence), F.col(time), F.col(event_id))
+    ends = events.filter(F.col(kind).isin(*CREATES, DELETE)).groupBy(aggregate)
+    last = ends.agg(F.max_by(F.struct(F.col(kind).alias("kind"), F.col(time).alias("at"), F.col(author).alias("by")), place).alias("_last"))
+    return last.filter(F.col("_last.kind") == DELETE).select(
+        aggregate, F.col("_last.at").alias("deleted_at"), F.col("_last.by").alias("deleted_by")
+    )
+
+
 def state_hash(states: DataFrame, aggregate: str) -> DataFrame:
     """(aggregate, state_hash): equal states give equal hashes."""
     ordered = sorted(c for c in states.columns if c != aggregate)

@@ -84,7 +84,7 @@ def class_adjacency(edges: DataFrame) -> DataFrame:
     )
 
 
-def class_paths(edges: DataFrame, start: str, end: str, max_depth: int = 3) -> DataFrame:
+def class_paths(edges: DataFrame, start: str, end: str, max_depth: int) -> DataFrame:
     """(path, predicates) between two classes over the schema graph, each class at most once."""
     return simple_paths(class_adjacency(edges), start, end, max_depth)
 
@@ -131,7 +131,7 @@ def direct_cycles(edges: DataFrame) -> DataFrame:
     return forth.join(back, ["a", "b"])
 
 
-def indirect_cycles(edges: DataFrame, max_depth: int = 10) -> DataFrame:
+def indirect_cycles(edges: DataFrame, max_depth: int) -> DataFrame:
     """(path, length): simple cycles of three or more nodes, one per node set.
 
     For small graphs such as a schema. Paths begin at their smallest node, so each cycle is
@@ -203,7 +203,7 @@ def components(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done) if done else nodes.select("node", F.col("node").alias("component"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(node, hops): every node within ``max_depth`` of the start nodes, start included at 0."""
     links = edges.select("src", "dst")
     frontier = start.select("node").distinct().withColumn("hops", F.lit(0))
@@ -217,14 +217,14 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFra
     return visited
 
 
-def connecting(edges: DataFrame, one: DataFrame, other: DataFrame, max_depth: int = 4) -> DataFrame:
+def connecting(edges: DataFrame, one: DataFrame, other: DataFrame, max_depth: int) -> DataFrame:
     """Nodes that both ends reach within half the depth, the ends themselves left out."""
     half = max_depth // 2
     a, b = (reachable(edges, s, half).filter(F.col("hops") > 0).select("node") for s in (one, other))
     return a.join(b, "node", "left_semi")
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(start, node, path, weight): the lightest path of at most ``max_depth`` hops per pair.
 
     One best path per (start, node) survives each round; ties go to the smaller path.

@@ -28,7 +28,7 @@ def _root(edges: DataFrame, root: str) -> DataFrame:
     return edges.sparkSession.createDataFrame([(root,)], "node string")
 
 
-def walk(edges: DataFrame, root: str, direction: str = "both", max_depth: int = 5, time: Any = None) -> DataFrame:
+def walk(edges: DataFrame, root: str, direction: str, max_depth: int, time: Any = None) -> DataFrame:
     """(node, hops) upstream, downstream or both from a root."""
     known = as_of(edges, time)
     sides = ["downstream", "upstream"] if direction == "both" else [direction]
@@ -46,7 +46,7 @@ def walk_edges(edges: DataFrame, walked: DataFrame, max_depth: int, direction: s
     return edges.join(left, start, "left_semi").select("src", "dst", "edge_type", "projection").distinct()
 
 
-def shortest_path(edges: DataFrame, root: str, target: str, direction: str = "downstream", max_depth: int = 5) -> DataFrame:
+def shortest_path(edges: DataFrame, root: str, target: str, direction: str, max_depth: int) -> DataFrame:
     """(path, hops) with the fewest hops, the smallest such path; one path per node is kept."""
     links = _turned(edges, direction).select("src", "dst")
     frontier = _root(edges, root).select("node", F.array("node").alias("path"))
@@ -64,7 +64,7 @@ def shortest_path(edges: DataFrame, root: str, target: str, direction: str = "do
     return hit.select("path", (F.size("path") - 1).alias("hops"))
 
 
-def impact(edges: DataFrame, root: str, max_depth: int = 5, time: Any = None, prefix: str = ARTIFACT) -> DataFrame:
+def impact(edges: DataFrame, root: str, max_depth: int, time: Any = None, prefix: str = ARTIFACT) -> DataFrame:
     """Downstream artifacts (node, kind, hops, latest_at): what a change of the root touches."""
     known = as_of(edges, time)
     hit = walk(known, root, "downstream", max_depth).filter(F.col("node").startswith(prefix))
@@ -78,7 +78,7 @@ def impact_by_kind(impacted: DataFrame) -> DataFrame:
     return impacted.groupBy("kind").agg(F.count(F.lit(1)).alias("artifacts"), F.max("latest_at").alias("latest_at"))
 
 
-def walk_difference(edges: DataFrame, root: str, before: Any, after: Any, direction: str = "downstream", max_depth: int = 5) -> DataFrame:
+def walk_difference(edges: DataFrame, root: str, before: Any, after: Any, direction: str, max_depth: int) -> DataFrame:
     """(node, change): nodes that the walk gained or lost between two times."""
     old, new = (walk(edges, root, direction, max_depth, t).select("node") for t in (before, after))
     both = old.withColumn("_o", F.lit(1)).join(new.withColumn("_n", F.lit(1)), "node", "full")

@@ -285,7 +285,7 @@ def column_relationship(left: DataFrame, left_column: str, right: DataFrame, rig
     )
 
 
-def unmatched_values(left: DataFrame, left_column: str, right: DataFrame, right_column: str, k: int = 5) -> DataFrame:
+def unmatched_values(left: DataFrame, left_column: str, right: DataFrame, right_column: str, k: int) -> DataFrame:
     """The first ``k`` values that only one side has: (side, value)."""
     a, b = (_folded(df, c).dropna().distinct() for df, c in ((left, left_column), (right, right_column)))
     only = [x.join(y, "v", "left_anti").sort("v").limit(k).select(F.lit(s).alias("side"), F.col("v").alias("value"))

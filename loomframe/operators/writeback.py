@@ -125,6 +125,18 @@ def merge(
     )
 
 
+def merge_links(
+    base: DataFrame, patches: DataFrame, key: str, sequence: str, patch: str, above: int | None = None
+) -> DataFrame:
+    """Links (key, field, target) after all queued patches; an entity that a patch deletes has none."""
+    queue = patches if above is None else patches.filter(F.col(sequence) > above)
+    edits = last_link_edits(queue, key, sequence, patch)
+    place = [key, "field", "target"]
+    kept = base.select(*place).distinct().join(edits, place, "left_anti")
+    gone = queue.filter(F.coalesce(F.col(f"{patch}.delete"), F.lit(False))).select(key).distinct()
+    return kept.unionByName(edits.filter("present").select(*place)).join(gone, key, "left_anti")
+
+
 def conflicting_fields(observed: Column, current: Column) -> Column:
     """Fields of the observed map whose current value differs."""
     return F.sort_array(

@@ -243,6 +243,25 @@ def replay_events(spark, d):
     return _stamped(_replayed(_commands(spark, d)), "created_at", "updated_at")
 
 
+@query(
+    "replay_fields",
+    f"""WITH r AS ({_replay_sql()}) SELECT user_id, 'k' AS field, k AS value FROM r WHERE k IS NOT NULL
+    UNION ALL SELECT user_id, 'amount', amount FROM r WHERE amount IS NOT NULL""",
+)
+def replay_fields(spark, d):
+    return E.replay_fields(_commands(spark, d), "user_id", "kind", "sequence", "ts", "event_id", "payload")
+
+
+@query(
+    "replay_deletes",
+    f"""WITH c AS ({_COMMANDS}), o AS (SELECT user_id, arg_max(event_id, event_id) AS event_id FROM c WHERE kind <> 'UPDATE_INSTANCE' GROUP BY user_id)
+    SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS deleted_at, author AS deleted_by
+    FROM o JOIN c USING (user_id, event_id) WHERE kind = 'DELETE_INSTANCE'""",
+)
+def replay_deletes(spark, d):
+    return _stamped(E.replay_deletes(_commands(spark, d), "user_id", "kind", "sequence", "ts", "event_id", "author"), "deleted_at")
+
+
 @query("replay_up_to_time", _replay_sql("ts <= TIMESTAMP '2024-01-12 00:00:00'"))
 def replay_up_to_time(spark, d):
     until = F.lit("2024-01-12 00:00:00").cast("timestamp_ntz")

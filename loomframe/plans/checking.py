@@ -293,7 +293,7 @@ def column_relationship(spark, d):
     """,
 )
 def unmatched_values(spark, d):
-    return P.unmatched_values(table(spark, d, "customer"), "c_custkey", table(spark, d, "events"), "user_id")
+    return P.unmatched_values(table(spark, d, "customer"), "c_custkey", table(spark, d, "events"), "user_id", 5)
 
 
 _SOURCES = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "orders": ["o_custkey"], "events": ["user_id"], "customer": ["c_nationkey"]}

@@ -133,21 +133,20 @@ def metrics_empty(spark, d):
     "SELECT l_partkey, count(*) AS count, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_partkey ORDER BY count DESC, l_partkey LIMIT 100",
 )
 def group_exact(spark, d):
-    return A.group_exact(table(spark, d, "lineitem"), "l_partkey", {"quantity": F.round(F.sum("l_quantity"), 2)})
+    return A.group_exact(table(spark, d, "lineitem"), "l_partkey", {"quantity": F.round(F.sum("l_quantity"), 2)}, max_groups=100)
 
 
 @query(
     "group_fixed_width",
     """
-    WITH b AS (SELECT CAST(floor(o_totalprice / 250) AS BIGINT) AS step FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000)
+    WITH b AS (SELECT CAST(floor(o_totalprice / 250) AS BIGINT) AS step FROM orders)
     SELECT s * 250.0::DOUBLE AS bucket, count(b.step) AS count
     FROM (SELECT unnest(generate_series((SELECT min(step) FROM b), (SELECT max(step) FROM b))) AS s) LEFT JOIN b ON s = step
     GROUP BY s
     """,
 )
 def group_fixed_width(spark, d):
-    orders = table(spark, d, "orders").filter("o_orderstatus = 'F' AND o_totalprice > 400000")
-    return A.group_fixed_width(orders, "o_totalprice", 250.0)
+    return A.group_fixed_width(table(spark, d, "orders"), "o_totalprice", 250.0)
 
 
 @query(
@@ -243,7 +242,7 @@ def histogram(spark, d):
     """,
 )
 def top_values(spark, d):
-    return A.top_values(table(spark, d, "part"), ["p_name", "p_brand", "p_size", "p_type"])
+    return A.top_values(table(spark, d, "part"), ["p_name", "p_brand", "p_size", "p_type"], 10)
 
 
 @query(
@@ -273,7 +272,7 @@ def similarity_numeric(spark, d):
 )
 def similarity_categorical(spark, d):
     part = table(spark, d, "part")
-    score = A.categorical_similarity(part.filter("p_size <= 25"), "p_name", part.filter("p_size > 25"), "p_name")
+    score = A.categorical_similarity(part.filter("p_size <= 25"), "p_name", part.filter("p_size > 25"), "p_name", 20)
     return score.select(F.round("similarity", 6).alias("similarity"))
 
 

@@ -21,6 +21,7 @@ from loomframe.operators import skew as K
 from loomframe.operators import transforms as T
 from loomframe.operators import udf as U
 from loomframe.operators import windows as W
+from loomframe.operators import writeback as WB
 from loomframe.operators.asof import asof_join
 from loomframe.operators.search import apply_policy
 from loomframe.streaming.streams import classify_events
@@ -94,6 +95,17 @@ def test_event_that_comes_twice_at_one_time(spark):
     assert sorted((r.event, r.status) for r in got) == [("e", "duplicate"), ("e", "processed"), ("f", "processed")]
 
 
+def test_links_after_patches(spark):
+    ops = "array<struct<field:string,value:string>>"
+    base = spark.createDataFrame([(1, "f", "x"), (1, "f", "y"), (2, "f", "x"), (3, "g", "z")], "id int, field string, target string")
+    rows = [(1, 1, ([("f", "n")], [("f", "x")], False)), (1, 2, ([("f", "x")], [("f", "n")], False)), (2, 3, ([("f", "q")], [], True))]
+    patches = spark.createDataFrame(rows, f"id int, seq int, patch struct<link_add:{ops},link_remove:{ops},delete:boolean>")
+    got = {tuple(r) for r in WB.merge_links(base, patches, "id", "seq", "patch").collect()}
+    assert got == {(1, "f", "x"), (1, "f", "y"), (3, "g", "z")}
+    later = {tuple(r) for r in WB.merge_links(base, patches, "id", "seq", "patch", above=2).collect()}
+    assert later == {(1, "f", "x"), (1, "f", "y"), (3, "g", "z")}
+
+
 def test_masks_keep_the_type(spark):
     df = spark.createDataFrame([(1, "x")], "id int, name string")
     masked = apply_policy(df, mask=["id", "name"], mask_value=0)
