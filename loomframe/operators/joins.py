@@ -24,6 +24,18 @@ def _right_names(left: DataFrame, right: DataFrame, keep: set[str]) -> dict[str,
     return names
 
 
+FULL = ("full", "outer", "fullouter", "full_outer")
+
+
+def _full(left: DataFrame, right: DataFrame, matched: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str]) -> DataFrame:
+    """``matched`` and the right rows whose key the left side lacks."""
+    known = left.select(*[F.col(a).alias(f"_k{i}") for i, a in enumerate(left_keys)]).distinct()
+    tests = [F.col(b) == F.col(f"_k{i}") for i, b in enumerate(right_keys)]
+    alone = right.join(known, reduce(Column.__and__, tests), "left_anti")
+    empty = [F.lit(None).cast(t).alias(c) for c, t in left.dtypes if c not in alone.columns]
+    return matched.unionByName(alone.select("*", *empty))
+
+
 def join(
     left: DataFrame,
     right: DataFrame,
@@ -37,7 +49,9 @@ def join(
     """Equi join. Right columns that collide get a ``right_`` prefix; same-named keys merge.
 
     No side is broadcast by default: Catalyst and AQE choose from measured sizes, and AQE
-    splits skewed partitions. Hints pass through for callers who know their sizes.
+    splits skewed partitions. Hints pass through for callers who know their sizes. A full join is
+    a left join and the right rows without a partner, since a busy key can be split in both of
+    these but not in a full outer join; each side is read twice.
     """
     right_keys = list(right_keys or left_keys)
     if not left_keys or len(left_keys) != len(right_keys):
@@ -46,9 +60,15 @@ def join(
     right = right.hint(right_hint) if right_hint else right
     if list(left_keys) == right_keys:
         names = _right_names(left, right, set(right_keys))
-        return left.join(right.withColumnsRenamed(names), list(left_keys), how)
+        renamed = right.withColumnsRenamed(names)
+        if how in FULL:
+            return _full(left, renamed, left.join(renamed, list(left_keys), "left"), left_keys, right_keys)
+        return left.join(renamed, list(left_keys), how)
     names = _right_names(left, right, set())
     renamed = right.withColumnsRenamed(names)
+    if how in FULL:
+        theirs = [names.get(b, b) for b in right_keys]
+        return _full(left, renamed, join(left, right, left_keys, right_keys, "left"), left_keys, theirs)
     tests = [left[a] == renamed[names.get(b, b)] for a, b in zip(left_keys, right_keys)]
     return left.join(renamed, reduce(Column.__and__, tests), how)
 

@@ -86,6 +86,20 @@ def walk_difference(edges: DataFrame, root: str, before: Any, after: Any, direct
     return both.select("node", change.alias("change")).filter(F.col("change").isNotNull())
 
 
+def edge_difference(edges: DataFrame, root: str, before: Any, after: Any, direction: str, max_depth: int) -> DataFrame:
+    """(src, dst, edge_type, change): edges among the nodes of the walk that it gained or lost between two times."""
+
+    def known(time: Any, mark: str) -> DataFrame:
+        nodes = walk(edges, root, direction, max_depth, time).select("node")
+        there = as_of(edges, time).select("src", "dst", "edge_type").distinct()
+        there = there.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        return there.select("src", "dst", "edge_type", F.lit(1).alias(mark))
+
+    both = known(before, "_o").join(known(after, "_n"), ["src", "dst", "edge_type"], "full")
+    change = F.when(F.col("_o").isNull(), F.lit("added")).when(F.col("_n").isNull(), F.lit("removed"))
+    return both.select("src", "dst", "edge_type", change.alias("change")).filter(F.col("change").isNotNull())
+
+
 def run_summaries(edges: DataFrame, since: Any = None, until: Any = None) -> DataFrame:
     """Per run: first and last time, edges, distinct artifacts and projections."""
     if since is not None:

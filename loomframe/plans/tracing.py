@@ -402,6 +402,18 @@ def lineage_impact_by_kind(spark, d):
     return kinds.withColumn("latest_at", F.date_format("latest_at", "yyyy-MM-dd"))
 
 
+@query(
+    "lineage_edge_difference",
+    f"WITH {_DUCK_LINEAGE}, {_duck_walk('w', 'supplier/3', 3, True, '1996-01-01')}, {_duck_walk('v', 'supplier/3', 3, True, '1997-01-01')}, "
+    "a AS (SELECT DISTINCT src, dst, edge_type FROM lin WHERE occurred_at <= TIMESTAMP '1997-01-01' AND src IN (SELECT node FROM v) AND dst IN (SELECT node FROM v)), "
+    "b AS (SELECT DISTINCT src, dst, edge_type FROM lin WHERE occurred_at <= TIMESTAMP '1996-01-01' AND src IN (SELECT node FROM w) AND dst IN (SELECT node FROM w)) "
+    "SELECT *, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b)",
+)
+def lineage_edge_difference(spark, d):
+    before, after = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (1996, 1997))
+    return L.edge_difference(_lineage(spark, d), "supplier/3", before, after, "downstream", 3)
+
+
 @query(
     "lineage_difference",
     f"WITH {_DUCK_LINEAGE}, {_duck_walk('w', 'supplier/3', 3, True, '1996-01-01')}, {_duck_walk('v', 'supplier/3', 3, True, '1997-01-01')} "

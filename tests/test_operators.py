@@ -95,6 +95,16 @@ def test_event_that_comes_twice_at_one_time(spark):
     assert sorted((r.event, r.status) for r in got) == [("e", "duplicate"), ("e", "processed"), ("f", "processed")]
 
 
+def test_full_join_is_left_join_and_the_rest(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "k int, v string")
+    right = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z"), (3, "y")], "k int, v string")
+    got = sorted(map(str, J.join(left, right, ["k"], how="full").collect()))
+    assert got == sorted(map(str, left.join(right.withColumnRenamed("v", "right_v"), "k", "full").collect()))
+    named = right.withColumnsRenamed({"k": "j", "v": "w"})
+    got = sorted(map(str, J.join(left, named, ["k"], ["j"], how="full").collect()))
+    assert got == sorted(map(str, left.join(named, left.k == named.j, "full").collect()))
+
+
 def test_links_after_patches(spark):
     ops = "array<struct<field:string,value:string>>"
     base = spark.createDataFrame([(1, "f", "x"), (1, "f", "y"), (2, "f", "x"), (3, "g", "z")], "id int, field string, target string")

@@ -7,6 +7,10 @@ from oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# Right to be empty on tables this small; all have rows at the next size.
+EMPTY_HERE = {
+    "extract_incremental", "graph_connecting", "graph_direct_cycles", "graph_self_references", "graph_start", "keyset_page", "lineage_spikes",
+}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +21,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, con, name):
     problem = compare(QUERIES[name](spark, SF), con, SQL[name])
-    assert problem in (None, "no rows")
+    assert problem is None or (problem == "no rows" and name in EMPTY_HERE)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
