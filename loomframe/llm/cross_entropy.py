@@ -4,13 +4,15 @@ Two bigram models, one of target documents and one of all documents (the backgro
 vocabulary. A document's score is the mean over its words of the background's loss less the
 target's, in bits: high for texts that the target model finds easier.
 
-The counts cover every word of every document. The vocabulary keeps the words that make up at least
-WORD_SHARE of all words, the models the pairs that make up at least PAIR_SHARE of all pairs; so
-there are at most 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs at any size, which bounds what is
-broadcast. The rest shares one unknown word. Pairs are discounted by DISCOUNT and interpolated with
-smoothed single words, each model from its own counts; probabilities add up to one.
-
-The target is named by ids: at most TARGETS of them, the first by a hash. Missing texts count as
+The models hold every word and every pair of every document, so they grow with the input. They are
+one Spark table of counts by key: of pairs, of words, and of contexts (the word before). Nothing of
+it is collected or broadcast. Texts are scored in chunks of bounded bytes: a chunk asks for each of
+its keys once, the keys are joined with the counts, and the answers are brought back to the chunk. So a
+frequent pair is asked for once a chunk, not once a text. Pairs are discounted by DISCOUNT and
+interpolated with smoothed single words, each model from its own counts; probabilities add up to
+one. Words that no document had share one unknown word.
+
+The target is named by ids. Missing texts count as
 empty and score 0 over 0 words; a text whose id is no target or missing is background only.
 Repeated rows count and score as often as they stand. Added columns replace input columns of the
 same name; an empty table gives an empty result.
@@ -20,69 +22,86 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomframe.llm.words import blank_separated, hash_words, slices
+from loomframe.session import materialize
 
-WORD_SHARE, PAIR_SHARE = 2.0**-19, 2.0**-19
 DISCOUNT, PRIOR = 0.75, 0.5
 TARGETS = 200_000
 HELD = 1 << 21  # distinct keys that a task counts before it passes them on
+CHUNK = 16 << 20  # bytes of text that are scored at once; a longer text is a chunk of its own
 TABLE = blank_separated(lower=True)
+FIRST = np.uint64(0x6C62272E07BB0142)  # stands before the first word of a text
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _pairs(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each word with the word before it in its text, and the word before."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    first = np.ones(len(row), bool)
+    first[1:] = row[1:] != row[:-1]
+    before[first] = FIRST
+    return (before * STEP + words).view(np.int64), before.view(np.int64)
+
+
+def _words_and_pairs(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pairs, before = _pairs(words, row)
+    return np.concatenate([words.view(np.int64), pairs]), np.concatenate([row, row]), np.concatenate([np.zeros_like(before), before])
 
 
 class _Tally:
     """Counts of keys, in target and in all documents, merged whenever many have gathered."""
 
     def __init__(self) -> None:
-        self.keys = np.empty(0, np.int64)
-        self.counts = np.empty((0, 2), np.int64)
-        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.size = self.known = 0
 
-    def add(self, keys: np.ndarray, target: np.ndarray) -> None:
-        self.waiting.append((keys, target))
+    def add(self, keys: np.ndarray, before: np.ndarray, target: np.ndarray) -> None:
+        self.waiting.append((keys, before, target.astype(np.int64), np.ones(len(keys), np.int64)))
         self.size += len(keys)
         if self.size > HELD:
             self.merge()
 
     def merge(self) -> None:
-        if not self.waiting:
+        if not self.size:
             return
-        keys = np.concatenate([k for k, _ in self.waiting])
-        target = np.concatenate([t for _, t in self.waiting])
-        self.waiting, self.size = [], 0
-        fresh, at = np.unique(keys, return_inverse=True)
-        counts = np.stack([np.bincount(at, target, len(fresh)).astype(np.int64), np.bincount(at, minlength=len(fresh))], axis=1)
-        both = np.concatenate([self.keys, fresh])
-        self.keys, at = np.unique(both, return_inverse=True)
-        total = np.zeros((len(self.keys), 2), np.int64)
-        np.add.at(total, at, np.concatenate([self.counts, counts]))
-        self.counts = total
+        keys, before, target, total = (np.concatenate(c) for c in zip(*self.waiting, strict=True))
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
+        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        self.waiting = [(keys[at], before[by][at], np.add.reduceat(target[by], at), np.add.reduceat(total[by], at))]
+        self.size, self.known = 0, len(at)
 
     def batches(self, last: bool) -> Iterator[pa.RecordBatch]:
         if last:
             self.merge()
-        if len(self.keys) > HELD or last:
-            for at in range(0, len(self.keys), 100_000):
-                part = slice(at, at + 100_000)
-                columns = [pa.array(self.keys[part]), pa.array(self.counts[part, 0]), pa.array(self.counts[part, 1])]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "target", "total"])
-            self.keys, self.counts = np.empty(0, np.int64), np.empty((0, 2), np.int64)
+        if self.waiting and (self.known > HELD or last):
+            self.merge()
+            columns = self.waiting[0]
+            for at in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["key", "before", "target", "total"])
+            self.waiting, self.size, self.known = [], 0, 0
 
 
-def _is_target(ids: pa.Array, targets: np.ndarray) -> np.ndarray:
-    known = ids.is_valid().to_numpy(zero_copy_only=False)
-    return known & np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), targets)
+def _ids(docs: DataFrame, targets) -> DataFrame:
+    """Distinct ids from a table of them, an array or a broadcast array."""
+    if not isinstance(targets, DataFrame):
+        array = getattr(targets, "value", targets)
+        targets = docs.sparkSession.createDataFrame([(int(i),) for i in array], "doc_id bigint")
+    return targets.select(F.col("doc_id").cast("bigint").alias("_id")).dropna().distinct()
 
 
 def _counted(docs: DataFrame, targets, keys_of) -> DataFrame:
-    """(key, target, total) over all documents; tasks add up their own keys before the shuffle."""
+    """(key, before, target, total) over all documents; tasks add up their own keys before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
@@ -90,117 +109,159 @@ def _counted(docs: DataFrame, targets, keys_of) -> DataFrame:
             for batch in slices(whole):
                 words, at = hash_words(batch.column(1), TABLE)
                 row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-                mine = _is_target(batch.column(0), targets.value)
-                keys, rows = keys_of(words, row)
-                tally.add(keys, mine[rows])
+                mine = batch.column(0).to_numpy(zero_copy_only=False)
+                keys, rows, *before = keys_of(words, row)
+                tally.add(keys, before[0] if before else np.zeros_like(keys), mine[rows])
                 yield from tally.batches(last=False)
         yield from tally.batches(last=True)
 
-    found = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "key bigint, target bigint, total bigint")
-    return found.groupBy("key").agg(F.sum("target").alias("target"), F.sum("total").alias("total"))
-
-
-def _frequent(counts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys that hold at least ``share`` of the total, with their counts, and both totals: at most 1 / share rows."""
-    counts = counts.persist()
-    sums = counts.agg(F.sum("target").alias("t"), F.sum("total").alias("n")).first()
-    total = np.array([sums.t or 0, sums.n or 0], np.int64)
-    table = counts.filter(F.col("total") >= F.lit(share * int(total[1]))).toPandas().sort_values("key")
-    counts.unpersist()
-    return table["key"].to_numpy(np.int64), table[["target", "total"]].to_numpy(np.int64).reshape(-1, 2), total
+    ids = _ids(docs, targets).withColumn("_target", F.lit(True))
+    marked = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text").join(ids, "_id", "left")
+    marked = marked.select(F.coalesce("_target", F.lit(False)).alias("target"), "text")
+    found = marked.mapInArrow(run, "key bigint, before bigint, target bigint, total bigint")
+    return found.groupBy("key").agg(F.min("before").alias("before"), F.sum("target").alias("target"), F.sum("total").alias("total"))
 
 
-def _number(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Place of each word in the vocabulary from 1 on; 0 is the unknown word."""
-    if not len(vocabulary):
-        return np.zeros(len(words), np.int64)
-    signed = words.view(np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, signed), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == signed, at + 1, 0)
-
-
-def _pairs(numbers: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pair of each word with the word before it in its text; size stands before the first word."""
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
-    first = np.ones(len(row), bool)
-    first[1:] = row[1:] != row[:-1]
-    before[first] = size
-    return before * size + numbers, before
+def _logs(pair: np.ndarray, context: np.ndarray, kinds: np.ndarray, word: np.ndarray, total: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Logs of the whole, of what a context leaves to single words, and of single words, from counts (column 0 target, 1 background)."""
+    chance = (word + PRIOR) / (total + PRIOR * size)
+    rest = np.where(context > 0, (DISCOUNT * kinds + PRIOR) / (context + PRIOR), 1.0)
+    own = np.maximum(pair - DISCOUNT, 0) / (context + PRIOR) + rest * chance
+    return np.log2(own), np.log2(rest), np.log2(chance)
 
 
 @dataclass
 class Model:
-    """Shared vocabulary and pairs, and the logs of both models (column 0 target, 1 background)."""
-
-    vocabulary: np.ndarray
-    pairs: np.ndarray
-    pair_logs: np.ndarray
-    word_logs: np.ndarray
-    rest_logs: np.ndarray
-
-    def losses(self, words: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Bits of each word under both models."""
-        numbers = _number(words, self.vocabulary)
-        keys, before = _pairs(numbers, row, len(self.vocabulary) + 1)
-        out = -(self.rest_logs[before] + self.word_logs[numbers])
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            hit = self.pairs[at] == keys
-            out[hit] = -self.pair_logs[at[hit]]
-        return out
-
-
-def target_ids(labels: DataFrame, limit: int = TARGETS) -> np.ndarray:
-    """Sorted ids of at most ``limit`` documents labelled as of good quality."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint")).distinct()
-    chosen = good.orderBy(F.xxhash64(F.lit("target"), "doc_id"), "doc_id").limit(limit).toPandas()
-    return np.sort(chosen["doc_id"].to_numpy(np.int64))
-
-
-def fit(docs: DataFrame, targets: np.ndarray) -> Model:
-    """Count words, then pairs of known words, over all documents, and build both models."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(targets)
-    vocabulary, words, total = _frequent(_counted(docs, shared, lambda w, row: (w.view(np.int64), row)), WORD_SHARE)
-    known = context.broadcast(vocabulary)
-    size = len(vocabulary) + 1
-
-    def keys_of(found: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _pairs(_number(found, known.value), row, size)[0], row
-
-    pairs, counts, _ = _frequent(_counted(docs, shared, keys_of), PAIR_SHARE)
-    single = np.concatenate([(total - words.sum(axis=0))[None, :], words]).astype(float)
-    chance = (single + PRIOR) / (single.sum(axis=0) + PRIOR * size)
-    before, after = pairs // size, pairs % size
-    context_total = np.zeros((size + 1, 2))
-    np.add.at(context_total, before, counts.astype(float))
-    discounted = np.maximum(counts - DISCOUNT, 0)
-    # What pairs leave over in a context goes to single words; contexts are weighed by their kept pairs.
-    kept = np.zeros((size + 1, 2))
-    np.add.at(kept, before, discounted)
-    rest = np.where(context_total > 0, (context_total - kept + PRIOR) / (context_total + PRIOR), 1.0)
-    own = discounted / (context_total[before] + PRIOR) + rest[before] * chance[after]
-    return Model(vocabulary, pairs, np.log2(own), np.log2(chance), np.log2(rest))
+    """Counts by key (key, target, total, target_kinds, kinds): pairs, words, and contexts by the complement of their word.
+
+    ``counts`` has the pairs and words with the word before, 0 for none. ``size`` is the number of
+    words, the unknown one included, ``total`` that of all words in target and in all documents.
+    """
+
+    counts: DataFrame
+    table: DataFrame
+    total: np.ndarray
+    size: int
+
+    @cached_property
+    def _all(self) -> dict[str, np.ndarray]:
+        """The whole model as arrays, words by number from 1 on: for looking at small ones only."""
+        rows = self.counts.toPandas().sort_values("key")
+        single, pair = rows[rows.before == 0], rows[rows.before != 0]
+        words = single["key"].to_numpy(np.int64)
+        before = pair["before"].to_numpy(np.int64)
+        after = (pair["key"].to_numpy(np.int64).view(np.uint64) - before.view(np.uint64) * STEP).view(np.int64)
+        numbers = np.where(before.view(np.uint64) == FIRST, self.size, np.searchsorted(words, before) + 1)
+        follow = np.searchsorted(words, after) + 1
+        counts = pair[["target", "total"]].to_numpy(float).reshape(-1, 2)
+        context, kinds = np.zeros((self.size + 1, 2)), np.zeros((self.size + 1, 2))
+        np.add.at(context, numbers, counts)
+        np.add.at(kinds, numbers, counts > 0)
+        word = np.concatenate([np.zeros((1, 2)), single[["target", "total"]].to_numpy(float).reshape(-1, 2)])
+        own = _logs(counts, context[numbers], kinds[numbers], word[follow], self.total, self.size)[0]
+        _, rest, _ = _logs(context * 0, context, kinds, context * 0, self.total, self.size)
+        chance = _logs(word * 0, word * 0, word * 0, word, self.total, self.size)[2]
+        return {"vocabulary": words, "pairs": numbers * self.size + follow, "pair_logs": own, "word_logs": chance, "rest_logs": rest}
+
+    vocabulary = property(lambda self: self._all["vocabulary"])
+    pairs = property(lambda self: self._all["pairs"])
+    pair_logs = property(lambda self: self._all["pair_logs"])
+    word_logs = property(lambda self: self._all["word_logs"])
+    rest_logs = property(lambda self: self._all["rest_logs"])
+
+
+def target_ids(labels: DataFrame, limit: int = TARGETS) -> DataFrame:
+    """Ids of at most ``limit`` documents labelled as of good quality."""
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    return good.orderBy(F.xxhash64(F.lit("target"), "doc_id"), "doc_id").limit(limit)
+
+
+def fit(docs: DataFrame, targets) -> Model:
+    """Count every word and pair over all documents; ``targets`` is a table (doc_id) or an array of ids."""
+    counts = materialize(_counted(docs, targets, _words_and_pairs), "cross-entropy-counts")
+    sums = counts.filter("before = 0").agg(F.sum("target").alias("t"), F.sum("total").alias("n"), F.count(F.lit(1)).alias("words")).first()
+    kinds = [F.count_if(F.col("target") > 0).alias("target_kinds"), F.count(F.lit(1)).alias("kinds")]
+    contexts = counts.filter("before <> 0").groupBy("before").agg(F.sum("target").alias("target"), F.sum("total").alias("total"), *kinds)
+    none = F.lit(0).cast("bigint")
+    table = counts.select("key", "target", "total", none.alias("target_kinds"), none.alias("kinds")).unionByName(
+        contexts.select(F.bitwise_not("before").alias("key"), "target", "total", "target_kinds", "kinds")
+    )
+    return Model(counts, table, np.array([sums.t or 0, sums.n or 0], float), sums.words + 1)
+
+
+def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the chunk of each row: rows of one task up to CHUNK bytes."""
+    task, number, held = TaskContext.get().partitionId(), 0, 0
+    for whole in batches:
+        for batch in slices(whole):
+            if held and held + batch.nbytes > CHUNK:
+                number, held = number + 1, 0
+            held += batch.nbytes
+            chunk = pa.array(np.full(batch.num_rows, (task << 32) + number, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, chunk], names=[*batch.schema.names, "_chunk"])
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct keys of each run of rows of one chunk: (_chunk, key)."""
+    chunk, held = None, []
+
+    def made() -> Iterator[pa.RecordBatch]:
+        keys = np.unique(np.concatenate(held)) if held else np.empty(0, np.int64)
+        for at in range(0, len(keys), 100_000):
+            part = keys[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part)], names=["_chunk", "key"])
+
+    for whole in batches:
+        for batch in slices(whole):
+            chunks = batch.column(0).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(chunks[1:] != chunks[:-1]) + 1, len(chunks)]
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if chunks[start] != chunk:
+                    yield from made()
+                    chunk, held = chunks[start], []
+                words, at = hash_words(batch.column(1).slice(start, end - start), TABLE)
+                pairs, before = _pairs(words, np.repeat(np.arange(end - start), np.diff(at)))
+                held.append(np.unique(np.concatenate([pairs, words.view(np.int64), ~before])))
+    yield from made()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The input with ``n_words``, ``target_loss``, ``background_loss`` (bits a word) and ``score``, their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the shares
     names = ("target_loss", "background_loss", "score")
     added = {"n_words": T.LongType(), **dict.fromkeys(names, T.DoubleType())}
     kept = [c for c in docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(k, v) for k, v in added.items()])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                words, at = hash_words(batch.column(batch.num_columns - 1), TABLE)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-                losses = shared.value.losses(words, row)
-                n = np.diff(at)
-                mean = [np.bincount(row, losses[:, k], batch.num_rows) / np.maximum(n, 1) for k in (0, 1)]
-                made = [pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[1] - mean[0])]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*kept, *added])
-
-    return docs.select(*[docs[c] for c in kept], F.col(text).alias("_text")).mapInArrow(run, schema)
+    total, size = model.total, model.size
+
+    def judged(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = rows.column("_text").combine_chunks()
+        words, at = hash_words(texts, TABLE)
+        n = np.diff(at)
+        row = np.repeat(np.arange(len(n)), n)
+        pairs, before = _pairs(words, row)
+        pairs, first, back = np.unique(pairs, return_index=True, return_inverse=True)
+        key = answers.column("key").to_numpy()
+        by = np.argsort(key)
+        key = key[by]
+        values = [answers.column(c).to_numpy()[by].astype(float) for c in ("target", "total", "target_kinds", "kinds")]
+
+        def found(keys: np.ndarray) -> list[np.ndarray]:
+            if not len(key):
+                return [np.zeros(len(keys))] * 4
+            place = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+            hit = key[place] == keys
+            return [np.where(hit, v[place], 0.0) for v in values]
+
+        pair, context, word = found(pairs), found(~before[first]), found(words.view(np.int64)[first])
+        both = [np.stack(x, axis=1) for x in (pair[:2], context[:2], context[2:], word[:2])]
+        losses = -_logs(*both, total, size)[0][back]
+        mean = [np.bincount(row, losses[:, k], len(n)) / np.maximum(n, 1) for k in (0, 1)]
+        made = [pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[1] - mean[0])]
+        return pa.Table.from_arrays([*(rows.column(c) for c in kept), *made], names=[*kept, *added])
+
+    plain = docs.select(*[docs[c] for c in kept], F.col(text).alias("_text"))
+    # Written once, so that both sides below see the same chunks.
+    chunked = materialize(plain.mapInArrow(_in_chunks, T.StructType([*plain.schema, T.StructField("_chunk", T.LongType())])), "cross-entropy-chunks")
+    wanted = chunked.select("_chunk", "_text").mapInArrow(_wanted, "_chunk bigint, key bigint")
+    answers = wanted.join(model.table, "key")
+    return chunked.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(judged, schema)

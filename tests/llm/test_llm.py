@@ -186,6 +186,42 @@ def test_cross_entropy_counts_are_those_of_the_words(spark):
     assert sorted((r.target, r.total) for r in counted) == [(0, 1), (1, 2), (2, 3)]
 
 
+def test_cross_entropy_keeps_rare_words_and_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cross_entropy, "CHUNK", 1)
+    texts = ["rare pair here", "Rare pair here again", "noise of words", None, "", *["noise of other words"] * 30]
+    df, targets = docs_of(spark, texts), [0, 1]
+    model = cross_entropy.fit(df, np.array(targets))
+    split = [all_words(lower(t)) for t in texts]
+    single, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for i, found in enumerate(split):
+        for k in (0, 1) if i in targets else (1,):
+            single[k].update(found)
+            pairs[k].update(zip([None, *found], found, strict=False))
+    size = len(single[1]) + 1
+
+    def loss(k, a, b):
+        context = sum(n for (x, _), n in pairs[k].items() if x == a)
+        kinds = sum(x == a for x, _ in pairs[k])
+        chance = (single[k][b] + 0.5) / (sum(single[k].values()) + 0.5 * size)
+        rest = (0.75 * kinds + 0.5) / (context + 0.5) if context else 1.0
+        return -math.log2(max(pairs[k][a, b] - 0.75, 0) / (context + 0.5) + rest * chance)
+
+    rows = {r.doc_id: r for r in cross_entropy.score(df, model).collect()}
+    for i, found in enumerate(split):
+        both = [sum(loss(k, a, b) for a, b in zip([None, *found], found, strict=False)) / max(1, len(found)) for k in (0, 1)]
+        assert (rows[i].target_loss, rows[i].background_loss) == pytest.approx(tuple(both))
+    fresh = cross_entropy.score(docs_of(spark, ["unseen rare words"]), model).collect()[0]
+    assert fresh.background_loss == pytest.approx((loss(1, None, "unseen") + loss(1, "unseen", "rare") + loss(1, "rare", "words")) / 3)
+    assert model.counts.filter("before <> 0").count() == len(pairs[1])
+
+
+def test_cross_entropy_has_no_bounded_table(spark):
+    n = 1200
+    df = docs_of(spark, [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(n)])  # 600,000 words, each once
+    model = cross_entropy.fit(df, np.arange(1))
+    assert model.size - 1 == n * 500 > 2**19
+
+
 # --- 4
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
