@@ -12,7 +12,7 @@ frequent pair is asked for once a chunk, not once a text. Pairs are discounted b
 interpolated with smoothed single words, each model from its own counts; probabilities add up to
 one. Words that no document had share one unknown word.
 
-The target is named by ids. Missing texts count as
+The target is named by a table of ids of any size, joined with the documents. Missing texts count as
 empty and score 0 over 0 words; a text whose id is no target or missing is background only.
 Repeated rows count and score as often as they stand. Added columns replace input columns of the
 same name; an empty table gives an empty result.
@@ -35,7 +35,6 @@ from loomframe.llm.words import blank_separated, hash_words, slices
 from loomframe.session import materialize
 
 DISCOUNT, PRIOR = 0.75, 0.5
-TARGETS = 200_000
 HELD = 1 << 21  # distinct keys that a task counts before it passes them on
 CHUNK = 16 << 20  # bytes of text that are scored at once; a longer text is a chunk of its own
 TABLE = blank_separated(lower=True)
@@ -170,10 +169,9 @@ class Model:
     rest_logs = property(lambda self: self._all["rest_logs"])
 
 
-def target_ids(labels: DataFrame, limit: int = TARGETS) -> DataFrame:
-    """Ids of at most ``limit`` documents labelled as of good quality."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    return good.orderBy(F.xxhash64(F.lit("target"), "doc_id"), "doc_id").limit(limit)
+def target_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled as of good quality."""
+    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
 
 
 def fit(docs: DataFrame, targets) -> Model:

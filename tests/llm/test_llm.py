@@ -222,6 +222,14 @@ def test_cross_entropy_has_no_bounded_table(spark):
     assert model.size - 1 == n * 500 > 2**19
 
 
+def test_cross_entropy_takes_all_target_ids(spark):
+    labels = spark.range(250_000).selectExpr("id AS doc_id", "1 AS quality").union(spark.range(5).selectExpr("id", "0"))
+    ids = cross_entropy.target_ids(labels.union(labels))
+    assert ids.count() == 250_000
+    docs = spark.createDataFrame([(249_999, "a b"), (7, "a"), (250_000, "a"), (None, "a"), (7, "a")], "doc_id bigint, text string")
+    assert cross_entropy.fit(docs, ids).total.tolist() == [4, 6]
+
+
 # --- 4
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
