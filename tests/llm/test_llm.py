@@ -244,6 +244,22 @@ def test_main_text(wrap):
     assert line_blocks.main_text(PAGE % (wrap % body)) == "Head & all\nOne two three\nFoür link five, a longer line of text.\nEnd."
 
 
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", '<div class="content">%s</div>'])
+def test_main_text_keeps_link_lines(wrap):
+    links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(5))
+    long = "A long text of many words. " * 40
+    body = f'<h1><a href="/">Title</a></h1><p>{long}</p><ul>{links}</ul><p>Short.</p><p><a href="/more">Read more</a></p>'
+    expected = ["Title", long.strip(), *(f"Link {i}" for i in range(5)), "Short.", "Read more"]
+    assert line_blocks.main_text(PAGE % (wrap % body)).split("\n") == expected
+
+
+def test_main_text_of_links_only():
+    links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(5))
+    assert line_blocks.main_text(PAGE % f"<article><ul>{links}</ul></article>") == "\n".join(f"Link {i}" for i in range(5))
+    menu = "".join(f'<div><a href="/{i}">Menu {i}</a></div>' for i in range(9))
+    assert line_blocks.main_text(PAGE % menu) == ""
+
+
 def test_main_text_of_odd_pages(spark):
     rows = [(0, "u", None), (1, None, ""), (2, "u", "plain text"), (3, "u", "<p>" + "x " * 200_000 + "</p>"), (4, "u", "<div><"), (2, "u", "plain text")]
     df = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("n_chars", F.lit("old"))
