@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from loomframe.llm import minmax_dedup, mixing, quality_rules, string_tiling, toxicity
 from loomframe.session import configure, new_path
 
-TOXIC_FROM = 0.5  # surer than the 0.3 at which a text is called toxic, so clean documents stay
+TOXIC_FROM = 0.3  # as in op7_toxicity
 SHINGLE, PERCENT = 5, 80
 COVERAGE = 0.5
 MIX_SHARE, MIX_EPOCHS, MIX_SEED, MIX_CYCLE = 1.5, 2, 17, (5.0, 2.0, 1.0)

@@ -587,3 +587,13 @@ def test_pipeline_stages_take_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         for rows in (odd, odd.limit(0), odd.withColumns({"score": F.lit(1), "size": F.lit("x"), "row": F.lit(2)})):
             assert stage(spark, rows, SF).count() >= 0
+
+
+def test_pipeline_drops_all_that_is_called_toxic(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    toxic = queries.op7_toxicity(spark, sf).filter("predicted = 1").select("doc_id")
+    kept = corpus_pipeline.remove_toxic(spark, docs, sf)
+    assert kept.count() > 0 and kept.join(toxic, "doc_id", "left_semi").isEmpty()
