@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat, cross_entropy, line_blocks, minmax_dedup, mixing, quality_rules, string_tiling, token_counts, toxicity, url_lists
+from loomframe.llm import chat, cross_entropy, line_blocks, merkle, minmax_dedup, mixing, quality_rules, string_tiling, token_counts, toxicity, url_lists
 from loomframe.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,3 +226,42 @@ def op10_chat_formatting(spark, d):
     turns = read(spark, d, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
     canonical = chat.canonical_turns(chat_records(turns.unionByName(extra)), "record")
     return chat.digests(chat.format_turns(canonical), ["turn", "part", "role", "text"])
+
+
+# --- 11: Merkle manifest. DuckDB has no crc32, so the SQL works it out bit by bit.
+
+_FIELD_SQL = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(({0})::VARCHAR)) || ':' || ({0})::VARCHAR END"
+_LOWER_SQL = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+_LEAF_SQL = "sha256(" + " || ".join(map(_FIELD_SQL.format, ("doc_id", "source", "lang", "n_chars", "{0}"))) + ")"
+_CRC_SQL = """xor(4294967295::UBIGINT, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT),
+  lambda c, b: list_reduce([0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1)), xor(c, b)),
+  4294967295::UBIGINT))"""
+_MERKLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_LEAF_SQL.format('text')} AS leaf,
+    CASE WHEN {_CRC_SQL} % 3 = 0 THEN {_LEAF_SQL.replace('{0}', _LOWER_SQL)} ELSE {_LEAF_SQL.format('text')} END AS now FROM documents),
+g AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM d)),
+l AS (SELECT d.*, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+  count(*) OVER (PARTITION BY tree) AS n FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+low AS (SELECT tree, 0 AS level, place, n, leaf AS hash FROM l
+  UNION ALL SELECT tree, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(hash, '' ORDER BY place)) FROM low WHERE n > 1
+  GROUP BY tree, level, n, place // 8),
+subs AS (SELECT tree, hash FROM low WHERE n = 1),
+top AS (SELECT -1 AS tree, 0 AS level, tree AS place, (SELECT count(*) FROM g) AS n, hash FROM subs
+  UNION ALL SELECT tree, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(hash, '' ORDER BY place)) FROM top WHERE n > 1
+  GROUP BY tree, level, n, place // 8),
+nodes AS (SELECT * FROM low WHERE n > 1 UNION ALL SELECT * FROM top WHERE n > 1),
+climb AS (SELECT row_number() OVER () AS row, doc_id, leaf, tree AS own, tree, 0 AS level, place, n, now AS folded, '' AS proof FROM l
+  UNION ALL SELECT * FROM (
+    SELECT c.row, any_value(c.doc_id), any_value(c.leaf), c.own, c.tree, c.level + 1, c.place // 8, (c.n + 7) // 8,
+      sha256(string_agg(CASE WHEN s.place = c.place THEN c.folded ELSE s.hash END, '' ORDER BY s.place)),
+      any_value(c.proof) || coalesce(string_agg(s.hash, '' ORDER BY s.place) FILTER (s.place <> c.place), '')
+    FROM climb c JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.place // 8 = c.place // 8 WHERE c.n > 1
+    GROUP BY c.row, c.own, c.tree, c.level, c.place, c.n
+    UNION ALL SELECT row, doc_id, leaf, own, -1, 0, tree, (SELECT count(*) FROM g), folded, proof FROM climb WHERE n = 1 AND tree >= 0))
+SELECT c.doc_id, c.leaf, s.hash AS subroot, r.hash AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = r.hash AS verified
+FROM climb c JOIN subs s ON s.tree = c.own JOIN (SELECT hash FROM top WHERE n = 1) r ON TRUE WHERE c.tree = -1 AND c.n = 1"""
+
+
+@query("op11_merkle", _MERKLE_SQL)
+def op11_merkle(spark, d):
+    return merkle.manifest(read(spark, d, "documents"))
