@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat, cross_entropy, line_blocks, merkle, minmax_dedup, mixing, quality_rules, string_tiling, token_counts, toxicity, url_lists
+from loomframe.llm import chat, cross_entropy, line_blocks, merkle, minmax_dedup, mixing, packing, quality_rules, string_tiling, token_counts, toxicity, url_lists
 from loomframe.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 MIX_SHARE, MIX_EPOCHS, MIX_SEED, MIX_CYCLE = 1.5, 2, 17, (5.0, 2.0, 1.0)
 TOKEN_LIMIT = 1024
+END_ID = 2
 TOXIC_FROM = 0.3
 
 
@@ -265,3 +266,13 @@ FROM climb c JOIN subs s ON s.tree = c.own JOIN (SELECT hash FROM top WHERE n =
 @query("op11_merkle", _MERKLE_SQL)
 def op11_merkle(spark, d):
     return merkle.manifest(read(spark, d, "documents"))
+
+
+# --- 13: packing
+
+
+@query("op13_packing")
+def op13_packing(spark, d):
+    import public_tokenizers
+
+    return packing.pack(read(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), END_ID, TOKEN_LIMIT)
