@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm import chat, cross_entropy, line_blocks, merkle, minmax_dedup, mixing, packing, quality_rules, string_tiling, token_counts, toxicity, url_lists
+from loomframe.llm import align, chat, cross_entropy, line_blocks, merkle, minmax_dedup, mixing, packing, quality_rules, string_tiling, token_counts, toxicity, url_lists
 from loomframe.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,6 +268,17 @@ def op11_merkle(spark, d):
     return merkle.manifest(read(spark, d, "documents"))
 
 
+# --- 12: alignment of two tokenizers
+
+
+@query("op12_align")
+def op12_align(spark, d):
+    import public_tokenizers
+
+    pair = align.prepare(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.scored(align.align(read(spark, d, "documents").select("doc_id", "text"), pair))
+
+
 # --- 13: packing
 
 
