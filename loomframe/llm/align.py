@@ -36,22 +36,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm import byte_bpe
+from loomframe.llm.words import slices
 from loomframe.session import materialize
 
 CHUNK = 1 << 15  # characters of a byte range
 REACH = 1 << 12  # characters from the end of a range to a safe cut, at most
 FAN = 16  # fragments composed by one task
 UNIT = 1 << 21  # links that are looked up at once
+BYTES = 1 << 21  # bytes of rows that a worker holds as Python objects
+BLOCK = 1 << 20  # marked ids that are written as text at once
 _CUT = re.compile(r"(?<=\S) ")
 
 
 @dataclass(frozen=True)
 class Pair:
-    """Both tokenizers: the first as prepared file, the second as path with the bytes of each id; ``cuts``: blanks are safe cuts."""
+    """Both tokenizers: the first as prepared file, the second as path with the bytes of each id.
+
+    ``lossless``: the first has every byte as a token, so its tokens always give a text back; ``cuts``: blanks are safe cuts.
+    """
 
     first: byte_bpe.Prepared
     second: str
     second_bytes: tuple[bytes, ...]
+    lossless: bool
     cuts: bool
 
 
@@ -65,49 +72,58 @@ def prepare(first: str, second: str) -> Pair:
     probe = "  a  b \n c  "
     kept = b"".join(table[i] for i in model.encode(probe)) == b" " + probe.encode()
     cuts = kept and not any("▁" in p.lstrip("▁") for i, p in enumerate(pieces) if not model.is_control(i))
-    return Pair(byte_bpe.prepare(first), second, table, cuts)
+    own = byte_bpe.prepare(first)
+    return Pair(own, second, table, {bytes([b]) for b in range(256)} <= set(own.token_bytes), cuts)
+
+
+_NONE = np.empty(0, np.uint32)
+SECOND, LAST = np.uint32(1 << 31), np.uint32(1 << 30)  # marks of a code: id of the second tokenizer; last of its side in a group
+ID = np.uint32((1 << 30) - 1)
 
 
 @dataclass
 class Fragment:
     """What a byte range says of a document's groups.
 
-    Without a common end (``closes`` false) all its tokens are in the open prefix. ``text`` has the closed groups
-    between the first and the last common end, ``links`` their last ids, one pair a group.
+    Without a common end (``closes`` false) all its tokens are in the open prefix. ``groups`` has the closed groups
+    between the first and the last common end, as marked ids: the first side of a group, then its second.
     """
 
     closes: bool = False
-    head: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (_NONE, _NONE))
-    text: str = ""
-    links: np.ndarray = field(default_factory=lambda: np.empty((0, 2), np.uint32))
-    tail: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (_NONE, _NONE))
+    head: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)
+    groups: np.ndarray = field(default_factory=lambda: _NONE)
+    tail: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE)
     tokens: tuple[int, int] = (0, 0)
     whole: bool = True
 
     def __add__(self, other: Fragment) -> Fragment:
         tokens, whole = (self.tokens[0] + other.tokens[0], self.tokens[1] + other.tokens[1]), self.whole and other.whole
         if not self.closes:
-            return Fragment(other.closes, _after(self.head, other.head), other.text, other.links, other.tail, tokens, whole)
+            return Fragment(other.closes, _after(self.head, other.head), other.groups, other.tail, tokens, whole)
         if not other.closes:
-            return Fragment(True, self.head, self.text, self.links, _after(self.tail, other.head), tokens, whole)
-        group = _after(self.tail, other.head)
-        text = ";".join(filter(None, (self.text, _group(group), other.text)))
-        return Fragment(True, self.head, text, np.concatenate([self.links, _link(group), other.links]), other.tail, tokens, whole)
-
-
-_NONE = np.empty(0, np.uint32)
+            return Fragment(True, self.head, self.groups, _after(self.tail, other.head), tokens, whole)
+        groups = np.concatenate([self.groups, _group(*_after(self.tail, other.head)), other.groups])
+        return Fragment(True, self.head, groups, other.tail, tokens, whole)
 
 
 def _after(one: tuple, two: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
 
 
-def _group(ids: tuple) -> str:
-    return ",".join(map(str, ids[0].tolist())) + "|" + ",".join(map(str, ids[1].tolist()))
+def _group(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One group as marked ids."""
+    return _groups(a, b, np.array([0, len(a)]), np.array([0, len(b)]))
 
 
-def _link(ids: tuple) -> np.ndarray:
-    return np.array([[ids[0][-1], ids[1][-1]]], np.uint32)
+def _groups(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> np.ndarray:
+    """Groups as marked ids; ``to_a`` and ``to_b`` say where each group ends, and start with 0."""
+    codes = np.empty(len(a) + len(b), np.uint32)
+    mine = np.arange(len(a)) + np.repeat(to_b[:-1], np.diff(to_a))
+    yours = np.arange(len(b)) + np.repeat(to_a[1:], np.diff(to_b))
+    codes[mine], codes[yours] = a, b | SECOND
+    codes[mine[to_a[1:] - 1]] |= LAST
+    codes[yours[to_b[1:] - 1]] |= LAST
+    return codes
 
 
 class Aligner:
@@ -121,15 +137,17 @@ class Aligner:
         self.blank = self.second.piece_to_id("▁")
         self.bytes = (pair.first.token_bytes, pair.second_bytes)
         self.sizes = tuple(np.array([len(b) for b in table], np.int64) for table in self.bytes)
-        self.names = tuple([str(i) for i in range(len(table))] for table in self.bytes)
+        # Ids as text with what follows them: a comma, or at the end of a group a bar (first) or semicolon (second).
+        kinds = len(self.bytes[0]), len(self.bytes[1])
+        self.words = [f"{i}{mark}" for n, marks in zip(kinds, (",|", ",;"), strict=True) for i in range(n) for mark in marks]
+        self.checked = [k for k in (0, 1) if k or not pair.lossless]
 
     def fragment(self, window: str, skip: int, size: int) -> Fragment:
         """Fragment of ``size`` characters of a window from ``skip`` on; the window starts with a blank."""
         second = self.second.encode(window[1:], num_threads=1) if len(window) > 1 else [self.blank]  # it adds no blank to nothing
         ids = [self.first.ids(window), np.array(second, np.uint32)]
         raw = window.encode()
-        whole = all(b"".join(map(table.__getitem__, own.tolist())) == raw for table, own in zip(self.bytes, ids, strict=True))
-        if not whole:
+        if any(b"".join(map(self.bytes[k].__getitem__, ids[k].tolist())) != raw for k in self.checked):
             return Fragment(whole=False)
         ends = [np.cumsum(sizes[own]) for sizes, own in zip(self.sizes, ids, strict=True)]
         if skip or size < len(window):
@@ -144,12 +162,26 @@ class Aligner:
             return Fragment(False, (a, b), tokens=tokens)
         to_a, to_b = common + 1, place[common] + 1
         head, tail = (a[: to_a[0]], b[: to_b[0]]), (a[to_a[-1] :], b[to_b[-1] :])
-        name_a, name_b = self.names
-        words_a, words_b = [name_a[i] for i in a.tolist()], [name_b[i] for i in b.tolist()]
-        cuts_a, cuts_b = to_a.tolist(), to_b.tolist()
-        bounds = zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])
-        text = ";".join([",".join(words_a[i:j]) + "|" + ",".join(words_b[k:m]) for i, j, k, m in bounds])
-        return Fragment(True, head, text, np.stack([a[common[1:]], b[to_b[1:] - 1]], axis=1), tail, tokens, True)
+        groups = _groups(a[to_a[0] : to_a[-1]], b[to_b[0] : to_b[-1]], to_a - to_a[0], to_b - to_b[0])
+        return Fragment(True, head, groups, tail, tokens, True)
+
+    def digest(self, groups: np.ndarray) -> str:
+        """Hash of groups as text, read in blocks."""
+        found = hashlib.sha256()
+        for at in range(0, len(groups), BLOCK):
+            part = groups[at : at + BLOCK]
+            word = (part & ID).astype(np.int64) * 2 + (part & LAST != 0) + np.where(part & SECOND, 2 * len(self.bytes[0]), 0)
+            text = "".join(map(self.words.__getitem__, word.tolist()))
+            found.update((text if at + BLOCK < len(groups) else text[:-1]).encode())  # nothing follows the last group
+        return found.hexdigest()
+
+    def finished(self, doc_id: int | None, found: Fragment) -> tuple:
+        """Result of a document from its whole fragment: the open prefix is its first group."""
+        if not found.whole or not found.closes:
+            return doc_id, 0, 0, 0, "", b""
+        groups = np.concatenate([_group(*found.head), found.groups])
+        last = groups[groups & LAST != 0] & ID  # of the first side, of the second, and so on
+        return doc_id, *found.tokens, len(last) // 2, self.digest(groups), last.astype("<u4").tobytes()
 
 
 _ALIGNERS: dict[int, tuple[Pair, Aligner]] = {}
@@ -165,10 +197,10 @@ def aligner(pair: Pair) -> Aligner:
 
 # --- fragments as rows
 
-_ROW = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links binary"
-_CHUNK = "doc_id bigint, row bigint, number bigint, last bigint, window string, skip int, size int"
+_ROW = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links binary, unit bigint"
+_CHUNK = "doc_id bigint, row bigint, unit bigint, number bigint, window string, skip int, size int"
 _FRAGMENT = (
-    "doc_id bigint, row bigint, number bigint, closes boolean, head_a binary, head_b binary, text string, links binary, "
+    "doc_id bigint, row bigint, unit bigint, number bigint, closes boolean, head_a binary, head_b binary, groups binary, "
     "tail_a binary, tail_b binary, n_a bigint, n_b bigint, whole boolean"
 )
 
@@ -183,30 +215,18 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=_names(schema))
 
 
-def _finished(doc_id: int | None, found: Fragment) -> tuple:
-    """Result of a document from its whole fragment: the open prefix is its first group."""
-    if not found.whole or not found.closes:
-        return doc_id, 0, 0, 0, "", b""
-    digest = hashlib.sha256(_group(found.head).encode())
-    if found.text:
-        digest.update(b";")
-        digest.update(found.text.encode())
-    links = np.concatenate([_link(found.head), found.links])
-    return doc_id, *found.tokens, len(links), digest.hexdigest(), links.astype("<u4").tobytes()
-
-
 def _to_row(found: Fragment) -> tuple:
-    sides = [x.astype("<u4").tobytes() for x in (*found.head, *found.tail)]
-    return (found.closes, *sides[:2], found.text, found.links.astype("<u4").tobytes(), *sides[2:], *found.tokens, found.whole)
+    sides = [x.astype("<u4").tobytes() for x in (*found.head, found.groups, *found.tail)]
+    return found.closes, *sides, *found.tokens, found.whole
 
 
 def _from_row(r: dict) -> Fragment:
-    head, tail = [tuple(np.frombuffer(r[f"{side}_{k}"], "<u4") for k in "ab") for side in ("head", "tail")]
-    return Fragment(r["closes"], head, r["text"], np.frombuffer(r["links"], "<u4").reshape(-1, 2), tail, (r["n_a"], r["n_b"]), r["whole"])
+    of = {c: np.frombuffer(r[c], "<u4") for c in ("head_a", "head_b", "groups", "tail_a", "tail_b")}
+    return Fragment(r["closes"], (of["head_a"], of["head_b"]), of["groups"], (of["tail_a"], of["tail_b"]), (r["n_a"], r["n_b"]), r["whole"])
 
 
 def ranges(raw: str, chunk: int, reach: int) -> Iterator[tuple[int, int, str, int]]:
-    """(number, first of the next, window, skip): ranges of about ``chunk`` characters with the windows they are tokenized in."""
+    """(number, size, window, skip): ranges of about ``chunk`` characters with the windows they are tokenized in."""
     cuts = [(0, 0, 0)]  # where a range starts, and the safe cuts before and after
     for at in range(chunk, len(raw), chunk):
         left = next((i for i in range(at, max(at - reach, 0), -1) if raw[i] == " " and not raw[i - 1].isspace()), None)
@@ -219,55 +239,63 @@ def ranges(raw: str, chunk: int, reach: int) -> Iterator[tuple[int, int, str, in
 
 
 def align(docs: DataFrame, pair: Pair, chunk: int = CHUNK, reach: int = REACH, text: str = "text") -> DataFrame:
-    """Per document _ROW: counts, digest of its groups and its links (pairs of little-endian 32-bit ids)."""
+    """Per document _ROW: counts, digest of its groups, its links (pairs of little-endian 32-bit ids), and the unit it is looked up in."""
     shared = docs.sparkSession.sparkContext.broadcast(pair)  # as large as the vocabularies, whatever the input
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     long = (F.char_length("text") > chunk) & F.lit(pair.cuts)
 
     def short_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = aligner(shared.value)
+        own, unit, held = aligner(shared.value), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            texts = zip(batch.column(0).to_pylist(), batch.column(1))
-            rows = [_finished(i, own.fragment(" " + t.as_py(), 0, len(t.as_py()) + 1) if t.as_py() else Fragment()) for i, t in texts]
-            yield _batch(rows, _ROW)
+            for part in slices(batch, BYTES):
+                texts = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                rows = [(*own.finished(i, own.fragment(" " + t, 0, len(t) + 1) if t else Fragment()), unit) for i, t in texts]
+                held += sum(r[3] for r in rows)
+                if held > UNIT:
+                    unit, held = unit + 1, 0
+                yield _batch(rows, _ROW)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        row, held = TaskContext.get().partitionId() << 40, 0
+        unit = -1 - (TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = list(ranges(" " + t.as_py(), chunk, reach))
-                yield _batch([(doc_id, row, n, found[-1][0], window, skip, size) for n, size, window, skip in found], _CHUNK)
+            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for n, size, window, skip in ranges(" " + t.as_py(), chunk, reach):
+                    yield _batch([(doc_id, row, unit, n, window, skip, size)], _CHUNK)
+                    held += size
                 row += 1
+                if held > 2 * UNIT:
+                    unit, held = unit - 1, 0
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(shared.value)
         for batch in batches:
-            for r in batch.to_pylist():
-                found = own.fragment(r["window"], r["skip"], r["size"])
-                yield _batch([(r["doc_id"], r["row"], r["number"], *_to_row(found))], _FRAGMENT)
+            for part in slices(batch, BYTES):
+                rows = [(r["doc_id"], r["row"], r["unit"], r["number"], *_to_row(own.fragment(r["window"], r["skip"], r["size"]))) for r in part.to_pylist()]
+                yield _batch(rows, _FRAGMENT)
 
-    def compose(group: pa.Table) -> pa.Table:
+    def compose(group: pa.Table) -> tuple[dict, Fragment]:
         rows = sorted(group.to_pylist(), key=lambda r: r["number"])
-        found = reduce(Fragment.__add__, map(_from_row, rows))
-        return pa.Table.from_batches([_batch([(rows[0]["doc_id"], rows[0]["row"], rows[0]["number"] // FAN, *_to_row(found))], _FRAGMENT)])
+        return rows[0], reduce(Fragment.__add__, map(_from_row, rows))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                yield _batch([_finished(r["doc_id"], _from_row(r))], _ROW)
+    def step(group: pa.Table) -> pa.Table:
+        first, found = compose(group)
+        return pa.Table.from_batches([_batch([(*(first[c] for c in ("doc_id", "row", "unit")), first["number"] // FAN, *_to_row(found))], _FRAGMENT)])
+
+    def finish(group: pa.Table) -> pa.Table:
+        first, found = compose(group)
+        return pa.Table.from_batches([_batch([(*aligner(shared.value).finished(first["doc_id"], found), first["unit"])], _ROW)])
 
     short = plain.filter(~long).mapInArrow(short_ones, _ROW)
     if not pair.cuts:
         return short
-    chunks = materialize(plain.filter(long).mapInArrow(cut, _CHUNK).repartition("row", "number"), "ranges")
-    tree = materialize(chunks.drop("last").mapInArrow(fragments, _FRAGMENT), "fragments")
-    last = chunks.agg(F.max("last")).first()[0] or 0
-    while last:
-        tree = tree.withColumn("_above", F.expr(f"number div {FAN}")).groupBy("row", "_above").applyInArrow(
-            lambda group: compose(group.drop_columns(["_above"])), _FRAGMENT
-        )
-        last //= FAN
-    return short.unionByName(tree.mapInArrow(finish, _ROW))
+    longest = plain.agg(F.max(F.char_length("text"))).first()[0] or 0
+    tree = plain.filter(long).mapInArrow(cut, _CHUNK).repartition("row", "number").mapInArrow(fragments, _FRAGMENT)
+    most = longest // chunk + 1  # fragments of a document
+    while most > FAN:
+        above = tree.withColumn("_above", F.expr(f"number div {FAN}")).groupBy("row", "_above")
+        tree, most = above.applyInArrow(lambda group: step(group.drop_columns(["_above"])), _FRAGMENT), -(-most // FAN)
+    return short.unionByName(tree.groupBy("unit", "row").applyInArrow(finish, _ROW))
 
 
 # --- counts over all documents
@@ -301,19 +329,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from made()
 
 
-def _in_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the unit of each row: rows of one task with up to UNIT links."""
-    task, number, held = TaskContext.get().partitionId() << 32, 0, 0
-    for batch in batches:
-        units = []
-        for n in batch.column("n_groups").to_pylist():
-            if held and held + n > UNIT:
-                number, held = number + 1, 0
-            held += n
-            units.append(task + number)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(units, pa.int64())], names=[*batch.schema.names, "unit"])
-
-
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct pairs of each run of rows of one unit."""
     unit, held = None, []
@@ -361,7 +376,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
 def scored(aligned: DataFrame) -> DataFrame:
     """RESULT of aligned documents."""
-    units = materialize(aligned.mapInArrow(_in_units, _ROW + ", unit bigint"), "aligned")
+    units = materialize(aligned, "aligned")
     wanted = units.select("unit", "links").mapInArrow(_wanted, "unit bigint, pair bigint")
     answers = wanted.join(pair_counts(units), "pair")
     return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_summed, RESULT)

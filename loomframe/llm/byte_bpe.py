@@ -74,10 +74,7 @@ class ByteBpe:
 
     def __init__(self, prepared: Prepared, special: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task a core
-        from tokenizers import Tokenizer
-
-        self.special, self.slow, self.fast = special, Tokenizer.from_str(prepared.tokenizer), None
-        self.slow.encode_special_tokens = not special
+        self.special, self.prepared, self.slow, self.fast = special, prepared, None, None
         if prepared.ordered:
             from tiktoken import Encoding
 
@@ -85,14 +82,19 @@ class ByteBpe:
             ranks = {b: i for i, b in enumerate(prepared.token_bytes) if i not in named.values()}
             self.fast = Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=named)
 
-    def _part(self, text: str) -> list[int]:
+    def _part(self, text: str) -> np.ndarray:
         if self.fast is not None:
             try:
-                return self.fast.encode(text, allowed_special="all" if self.special else set(), disallowed_special=())
+                return self.fast.encode_to_numpy(text, allowed_special="all" if self.special else set(), disallowed_special=())
             except ValueError:  # its pattern search gives up on very long runs
                 pass
-        return self.slow.encode(text, add_special_tokens=False).ids
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_str(self.prepared.tokenizer)
+            self.slow.encode_special_tokens = not self.special
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids(self, text: str) -> np.ndarray:
-        parts = [np.array(self._part(part), np.uint32) for part in segments(text)]
+        parts = [self._part(part) for part in segments(text)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)

@@ -89,7 +89,7 @@ def test_fragments_give_the_whole(text, chunk):
     total = align.Fragment()
     for part in parts:
         total = total + part
-    assert align._finished(1, total) == align._finished(1, whole)
+    assert OWN.finished(1, total) == OWN.finished(1, whole)
 
 
 def test_composition_is_associative_with_a_neutral_element():
