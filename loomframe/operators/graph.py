@@ -224,29 +224,62 @@ def connecting(edges: DataFrame, one: DataFrame, other: DataFrame, max_depth: in
     return a.join(b, "node", "left_semi")
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """(start, node, path, weight): the lightest path of at most ``max_depth`` hops per pair.
+def _improvements(edges: DataFrame, start: DataFrame, max_depth: int) -> list[DataFrame]:
+    """Per hop count the pairs (start, node, weight, parent) that this many hops reach lighter than fewer do.
 
-    One best path per (start, node) survives each round; ties go to the smaller path.
+    A path that is not lighter than one of fewer hops cannot lead to anything lighter, so only improved
+    pairs go on; weights must not be negative. Rounds carry no paths, only the node before.
     """
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     # Parallel edges: only the lightest can be on a lightest path.
-    links = edges.groupBy("src", "dst").agg(F.min(weight).alias("w"))
-    best = start.select(F.col("node").alias("start"), "node", F.array("node").alias("path"), F.lit(0.0).alias("weight"))
-    frontier = best
+    links = cut_lineage(edges.groupBy("src", "dst").agg(F.min(weight).alias("w")))
+    best = start.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("weight")).distinct()
+    rounds = [best.withColumn("parent", F.lit(None).cast("string"))]
     for _ in range(max_depth):
-        step = frontier.withColumnRenamed("node", "src").join(links, "src").filter(~F.array_contains("path", F.col("dst")))
-        step = step.select(
-            "start", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), (F.col("weight") + F.col("w")).alias("weight")
-        )
-        frontier = cut_lineage(_lightest(step))
-        best = cut_lineage(_lightest(best.unionByName(frontier)))
-    return best.filter(F.col("start") != F.col("node"))
+        step = rounds[-1].select("start", F.col("node").alias("src"), "weight").join(links, "src")
+        lightest = F.min(F.struct((F.col("weight") + F.col("w")).alias("weight"), F.col("src").alias("parent"))).alias("_b")
+        step = step.groupBy("start", F.col("dst").alias("node")).agg(lightest).select("start", "node", "_b.weight", "_b.parent")
+        known = best.withColumnRenamed("weight", "_known")
+        improved = step.join(known, ["start", "node"], "left").filter(F.col("_known").isNull() | (F.col("weight") < F.col("_known")))
+        improved = cut_lineage(improved.drop("_known"))
+        if improved.isEmpty():
+            break
+        rounds.append(improved)
+        both = best.unionByName(improved.drop("parent"))
+        best = cut_lineage(both.groupBy("start", "node").agg(F.min("weight").alias("weight")))
+    return rounds
+
+
+def _numbered(rounds: list[DataFrame]) -> DataFrame:
+    """Every improvement with its number of hops."""
+    return reduce(DataFrame.unionByName, [r.withColumn("hops", F.lit(k)) for k, r in enumerate(rounds)])
+
 
+def shortest_distances(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+    """(start, node, weight): the least weight of a path of at most ``max_depth`` hops per pair."""
+    found = _numbered(_improvements(edges, start, max_depth)).groupBy("start", "node").agg(F.min("weight").alias("weight"))
+    return found.filter(F.col("start") != F.col("node"))
 
-def _lightest(paths: DataFrame) -> DataFrame:
-    top = F.min(F.struct("weight", "path")).alias("_b")
-    return paths.groupBy("start", "node").agg(top).select("start", "node", "_b.path", "_b.weight")
+
+def shortest_paths(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+    """(start, node, path, weight): the lightest path of at most ``max_depth`` hops per pair.
+
+    Paths are put together backwards at the end, from the node before each improvement. Ties go to the
+    fewer hops, then to the smaller node before.
+    """
+    rounds = _improvements(edges, start, max_depth)
+    last = F.min_by(F.struct("weight", "parent", "hops"), F.struct("weight", "hops")).alias("_b")
+    paths = _numbered(rounds).groupBy("start", "node").agg(last).select("start", "node", "_b.*").filter(F.col("start") != F.col("node"))
+    paths = paths.withColumn("path", F.array("node")).withColumnRenamed("parent", "tip")
+    for hops in range(len(rounds) - 1, 0, -1):
+        # All paths that still have ``hops`` hops to go grow by the node before.
+        here = F.col("hops") == hops
+        before = rounds[hops - 1].select("start", F.col("node").alias("tip"), F.col("parent").alias("_next"), F.lit(hops).alias("hops"))
+        grown = paths.filter(here).join(before, ["start", "tip", "hops"]).select(
+            "start", "node", "weight", F.col("_next").alias("tip"), F.lit(hops - 1).alias("hops"), F.concat(F.array("tip"), "path").alias("path")
+        )
+        paths = paths.filter(~here).unionByName(grown)
+    return paths.select("start", "node", "path", "weight")
 
 
 def weigh(edges: DataFrame, weights: Mapping[str, float], boosts: Mapping[str, float] | None = None, default: float = 1.0) -> DataFrame:

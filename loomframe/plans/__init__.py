@@ -15,6 +15,7 @@ MODULES = (
     "grouping",
     "scalars",
     "searching",
+    "spatial",
     "checking",
     "increments",
     "building",

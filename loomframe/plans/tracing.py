@@ -172,18 +172,13 @@ def graph_common_predicates(spark, d):
     return G.common_predicates(G.simple_paths(_weighted(spark, d), "part", "region", 5))
 
 
-# A sparse directed graph between users from all events: the number k of a user's newest event of each type names the user it points to.
-_HITS = (
-    "SELECT 'user/' || user_id AS src, 'user/' || arg_max(json_extract_string(props, '$.k'), event_id) AS dst, event_type AS predicate "
-    "FROM events GROUP BY user_id, event_type"
-)
+# A directed graph between users from all events: the number k of an event names the user it points to.
+_HITS = "SELECT DISTINCT 'user/' || user_id AS src, 'user/' || json_extract_string(props, '$.k') AS dst, event_type AS predicate FROM events"
 
 
 def _hits(spark, d):
-    newest = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by(F.get_json_object("props", "$.k"), "event_id").alias("k"))
-    return newest.select(
-        F.concat(F.lit("user/"), "user_id").alias("src"), F.concat(F.lit("user/"), "k").alias("dst"), F.col("event_type").alias("predicate")
-    )
+    to = F.concat(F.lit("user/"), F.get_json_object("props", "$.k"))
+    return table(spark, d, "events").select(F.concat(F.lit("user/"), "user_id").alias("src"), to.alias("dst"), F.col("event_type").alias("predicate")).distinct()
 
 
 @query("graph_self_references", f"SELECT DISTINCT src AS node, predicate FROM ({_HITS}) WHERE src = dst")
