@@ -20,6 +20,7 @@ MODULES = (
     "increments",
     "building",
     "tracing",
+    "timing",
 )
 
 
