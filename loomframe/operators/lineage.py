@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.operators.graph import reachable
+from loomframe.operators.rollups import percentile_exact
 from loomframe.session import cut_lineage
 
 ARTIFACT = "artifact:"
@@ -237,7 +238,7 @@ def timeline(edges: DataFrame, minutes: int) -> DataFrame:
 def spikes(edges: DataFrame, minutes: int) -> DataFrame:
     """Buckets with at least max(5, 3 * median of the non-empty buckets) edges."""
     buckets = timeline(edges, minutes).groupBy("bucket_start").agg(F.sum("edges").alias("edges"))
-    baseline = buckets.agg(F.percentile("edges", F.lit(0.5))).scalar()
+    baseline = percentile_exact(buckets, [], "edges", 0.5, "baseline").select("baseline").agg(F.max("baseline")).scalar()
     judged = buckets.withColumn("baseline", baseline)
     limit = F.greatest(F.lit(5.0), F.col("baseline") * 3)
     return judged.withColumn("threshold", limit).filter(F.col("edges") >= F.col("threshold"))

@@ -112,6 +112,43 @@ def read_new_commits(spark, d):
     return S.read_dataset(spark, root, since=first)
 
 
+@query(
+    "read_commit_changes",
+    """
+    WITH v AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders),
+    old AS (SELECT o_orderkey, o_totalprice FROM v WHERE o_orderstatus <> 'P'),
+    new AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM v
+      WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'))
+    SELECT *, 'added' AS change FROM (FROM new EXCEPT ALL FROM old) UNION ALL SELECT *, 'removed' FROM (FROM old EXCEPT ALL FROM new)
+    """,
+)
+def read_commit_changes(spark, d):
+    """An append, then a snapshot that rewrites all rows, changes some and leaves some out."""
+    root = new_path(spark, "commits")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    first = S.commit(orders.filter("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice"), root)
+    S.commit(orders.filter("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice"), root, "always_append")
+    price = F.expr("CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice + 1 ELSE o_totalprice END")
+    kept = orders.filter("NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
+    S.commit(kept.select("o_orderkey", price.alias("o_totalprice")), root)
+    return S.read_changes(spark, root, first)
+
+
+@query(
+    "commit_manifest",
+    "SELECT * FROM (VALUES ('added', 2, true), ('added', 3, true), ('removed', 1, true)) t(change, version, filled) WHERE (SELECT count(*) FROM events) > 0",
+)
+def commit_manifest(spark, d):
+    """Files that came and went between an append, a snapshot and another append of the same events."""
+    root = new_path(spark, "commits")
+    events = table(spark, d, "events").select("event_id", "user_id")
+    first = S.commit(events, root)
+    S.commit(events.filter("event_id % 2 = 0"), root)
+    S.commit(events.filter("event_id % 2 = 1"), root, "always_append")
+    found = S.file_changes(spark, root, first).groupBy("change", F.col("version").cast("int").alias("version"))
+    return found.agg((F.sum("bytes") > 0).alias("filled"))
+
+
 @query("table_page", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 500")
 def table_page(spark, d):
     return R.table_page(table(spark, d, "customer"), ["c_custkey", "c_name"], ["c_custkey"], 500)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -205,6 +206,62 @@ def read_dataset(
     return rows.select("*", number.alias(version)) if version else rows
 
 
+def _making_up(commits: list[tuple[int, str]], as_of: int | None) -> list[tuple[int, str]]:
+    """The commits whose files make up a version: from its last snapshot on."""
+    known = [c for c in commits if as_of is None or c[0] <= as_of]
+    starts = [i for i, (_, kind) in enumerate(known) if kind == "snapshot"]
+    return known[starts[-1] :] if starts else known
+
+
+def _folders(root: str, commits: Sequence[tuple[int, str]]) -> list[str]:
+    return [f"{root}/v{number:08d}-{kind}" for number, kind in commits]
+
+
+def manifest(spark: SparkSession, root: str, as_of: int | None = None) -> DataFrame:
+    """(file, version, bytes): the files that make up a version, listed by Spark without reading them."""
+    folders = _folders(root, _making_up(_versions(spark, root), as_of))
+    if not folders:
+        return spark.createDataFrame([], "file string, version bigint, bytes bigint")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folders)
+    number = F.regexp_extract("path", r"/v(\d+)-[a-z]+/", 1).cast("bigint")
+    return listed.select(F.col("path").alias("file"), number.alias("version"), F.col("length").alias("bytes"))
+
+
+def file_changes(spark: SparkSession, root: str, since: int, until: int | None = None) -> DataFrame:
+    """(file, version, bytes, change): files ``added`` to and ``removed`` from a dataset between two versions."""
+    old, new = manifest(spark, root, since), manifest(spark, root, until)
+    added = new.join(old.select("file"), "file", "left_anti").withColumn("change", F.lit("added"))
+    return added.unionByName(old.join(new.select("file"), "file", "left_anti").withColumn("change", F.lit("removed")))
+
+
+def read_changes(spark: SparkSession, root: str, since: int, until: int | None = None, change: str = "change") -> DataFrame | None:
+    """Rows ``added`` and ``removed`` between two versions; a row that changed comes as both.
+
+    Only folders that one of the versions has and the other has not are read. A snapshot writes rows anew: those
+    that stood in the files it replaced cancel out, by number of equal rows. Appends alone need no
+    comparison. None when both versions have the same files. Rows with map columns cannot be compared.
+    """
+    commits = _versions(spark, root)
+    old, new = _making_up(commits, since), _making_up(commits, until)
+    gone, come = [c for c in old if c not in new], [c for c in new if c not in old]
+    if not gone and not come:
+        return None
+
+    def rows(of: list[tuple[int, str]]) -> DataFrame | None:
+        return spark.read.option("mergeSchema", True).parquet(*_folders(root, of)) if of else None
+
+    added, removed = rows(come), rows(gone)
+    if removed is None:
+        return added.withColumn(change, F.lit("added"))
+    both = removed.withColumn("_sign", F.lit(-1))
+    if added is not None:
+        both = added.withColumn("_sign", F.lit(1)).unionByName(both, allowMissingColumns=True)
+    columns = [c for c in both.columns if c != "_sign"]
+    counted = both.groupBy(*columns).agg(F.sum("_sign").alias("_n")).filter("_n <> 0")
+    kind = F.when(F.col("_n") > 0, F.lit("added")).otherwise(F.lit("removed"))
+    return counted.withColumn(change, kind).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int")))).select(*columns, change)
+
+
 def _claim(spark: SparkSession, root: str, number: int) -> int:
     """The first version number from ``number`` on that no other writer has taken; its marker stays."""
     while True:
@@ -219,6 +276,15 @@ def _claim(spark: SparkSession, root: str, number: int) -> int:
             number += 1
 
 
+def _await(spark: SparkSession, root: str, numbers: range, seconds: float) -> None:
+    """Until these versions are complete. A writer that died leaves its marker: remove it to go on."""
+    until = time.monotonic() + seconds
+    while missing := set(numbers) - {number for number, _ in _versions(spark, root)}:
+        if time.monotonic() > until:
+            raise TimeoutError(f"versions {sorted(missing)} were taken under {root}/_taken but not written within {seconds} s")
+        time.sleep(0.2)
+
+
 def commit(
     incoming: DataFrame,
     root: str,
@@ -226,19 +292,30 @@ def commit(
     keys: Sequence[str] = (),
     flag: str | None = None,
     order: Sequence[str] | None = None,
+    wait: float = 600,
 ) -> int | None:
     """Write one new version; earlier versions stay readable. None when an append adds no rows.
 
-    Writers at one time get numbers of their own; neither overwrites the other's folder.
+    Writers at one time get numbers of their own; neither overwrites the other's folder. A mode that builds on
+    stored rows is worked out again where another writer took a number in between, on top of that writer's
+    version, so no row is lost; ``wait`` seconds are given to that writer to finish.
     """
     spark = incoming.sparkSession
     commits = _versions(spark, root)
+    base = commits[-1][0] if commits else 0
     named = mode == "changelog" or mode.startswith("snapshot_replace")
-    existing = read_dataset(spark, root, version="_version") if named else read_dataset(spark, root)
-    rows = resolve(mode, existing, incoming, keys, flag, order, "_version" if named else None)
+
+    def resolved(before: int | None = None) -> DataFrame:
+        existing = read_dataset(spark, root, as_of=before, version="_version") if named else read_dataset(spark, root, as_of=before)
+        return resolve(mode, existing, incoming, keys, flag, order, "_version" if named else None)
+
+    rows = resolved()
     if mode in APPENDING and commits and rows.isEmpty():
         return None
-    number = _claim(spark, root, (commits[-1][0] if commits else 0) + 1)
+    number = _claim(spark, root, base + 1)
+    if number > base + 1 and mode not in ("overwrite", "append", "always_append"):
+        _await(spark, root, range(base + 1, number), wait)
+        rows = resolved(number - 1)
     kind = "append" if mode in APPENDING else "snapshot"
     write_files(rows, f"{root}/v{number:08d}-{kind}", mode="errorifexists")
     return number
