@@ -7,8 +7,8 @@ itself, so a conversation of any length spreads over tasks: its text is its segm
 The template marks every turn as ``<s>[INST]role[/INST]text</s>``. Control strings inside roles and
 texts get one more backslash after their first character, which is undone exactly when read back.
 
-Missing records, and records without a mapping, give no turns (``unmapped`` lists the latter); a
-missing role or text is empty. Repeated rows stay repeated. Columns of the input other than the
+Missing records, and records without a mapping, give no turns (``unmapped`` lists the latter, and with them
+records that are no JSON, nest too deeply, hold half a character or a turn that is no object); a missing role or text is empty. Repeated rows stay repeated. Columns of the input other than the
 record are kept; one named like an output column is replaced by it. An empty table stays empty.
 """
 
@@ -80,6 +80,9 @@ MAPPINGS = (
 )
 
 
+_HALF = re.compile(r"\\u[dD][89a-fA-F]")  # an escape of half a character, paired or not
+
+
 def field_paths(value: Any, at: str = "") -> Iterator[str]:
     """Nested paths of all leaves; list items share one path."""
     if isinstance(value, dict):
@@ -123,12 +126,30 @@ def turns_of(record: Any, mapping: Mapping) -> list[tuple[str, str]]:
 
 
 def _parsed(record: str | None) -> Any:
+    """The record's value; None where there is none, where it nests too deeply, or where an escape gives half a character."""
     try:
-        return None if record is None else json.loads(record)
-    except ValueError:
+        value = None if record is None else json.loads(record)
+        if value is not None and _HALF.search(record):
+            json.dumps(value, ensure_ascii=False).encode()
+        return value
+    except (ValueError, RecursionError):  # what cannot be encoded is a ValueError too
         return None
 
 
+def layout_of(value: Any) -> list[str]:
+    """Sorted distinct field paths of a parsed record."""
+    try:
+        return ["(no JSON)"] if value is None else sorted(set(field_paths(value)))
+    except RecursionError:
+        return ["(too deep)"]
+
+
+def _fits(value: Any, mapping: Mapping) -> bool:
+    """Empty lists and objects have no paths: every turn must be an object all the same."""
+    found = _at(value, mapping.turns) if mapping.turns else []
+    return isinstance(found, list) and all(isinstance(x, dict) for x in found)
+
+
 def canonical_turns(records: DataFrame, record: str, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """One row per turn: the other input columns, ``layout``, ``part`` (place in its record), ``role``, ``text``."""
     table = {fingerprint(m.paths): m for m in mappings}
@@ -141,8 +162,8 @@ def canonical_turns(records: DataFrame, record: str, mappings: Sequence[Mapping]
             rows, made = [], {k: [] for k in added}
             for i, raw in enumerate(batch.column(batch.num_columns - 1)):
                 value = _parsed(raw.as_py())
-                mapping = None if value is None else table.get(fingerprint(field_paths(value)))
-                for part, (role, text) in enumerate(turns_of(value, mapping) if mapping else ()):
+                mapping = table.get(fingerprint(layout_of(value)))
+                for part, (role, text) in enumerate(turns_of(value, mapping) if mapping and _fits(value, mapping) else ()):
                     rows.append(i)
                     for name, cell in zip(added, (mapping.name, part, role, text), strict=True):
                         made[name].append(cell)
@@ -155,15 +176,16 @@ def canonical_turns(records: DataFrame, record: str, mappings: Sequence[Mapping]
 
 def unmapped(records: DataFrame, record: str, mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """Count of records by fingerprint for which no mapping is known, with one sample layout."""
-    known = {fingerprint(m.paths) for m in mappings}
+    known = {fingerprint(m.paths): m for m in mappings}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[str, str]] = []
             for raw in batch.column(0):
                 value = _parsed(raw.as_py())
-                paths = sorted(set(field_paths(value))) if value is not None else ["(no JSON)"]
-                if fingerprint(paths) not in known:
+                paths = layout_of(value)
+                mapping = known.get(fingerprint(paths))
+                if mapping is None or not _fits(value, mapping):
                     found.append((fingerprint(paths), " ".join(paths)))
             columns = list(zip(*found, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["fingerprint", "paths"])
