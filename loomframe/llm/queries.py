@@ -118,7 +118,7 @@ def op2_quality_rules(spark, d):
 def op3_cross_entropy(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
     targets = cross_entropy.target_ids(read(spark, d, "labels"))
-    return cross_entropy.score(docs, cross_entropy.fit(docs, targets)).drop("text")
+    return cross_entropy.difference(docs, targets, columns=["doc_id"])
 
 
 # --- 4: HTML extraction

@@ -215,6 +215,26 @@ def test_cross_entropy_keeps_rare_words_and_pairs(spark, monkeypatch):
     assert model.counts.filter("before <> 0").count() == len(pairs[1])
 
 
+@pytest.mark.parametrize("chunk, bucket", [(1, 1 << 30), (2000, 300), (1 << 20, 1)])
+def test_cross_entropy_difference_is_fit_and_score(spark, chunk, bucket):
+    texts = [" ".join(f"w{(i * j * j + j) % (7 + i)}" if j % 3 else "the" for j in range(i)) for i in range(60)]
+    texts += [None, "", " \n ", "the", "the the the the", *["one hot text of copies"] * 50, "w " * 5000]
+    df = docs_of(spark, texts, extra=True).repartition(3)
+    df = df.unionByName(df.filter("doc_id IN (5, 70)")).unionByName(df.filter("doc_id = 9").withColumn("doc_id", F.lit(None).cast("bigint")))
+    targets = spark.createDataFrame([(i,) for i in range(0, 110, 3)] + [(None,)], "doc_id bigint")
+    want = cross_entropy.score(df, cross_entropy.fit(df, targets))
+    got = cross_entropy.difference(df, targets, chunk=chunk, bucket=bucket)
+    assert sorted(got.columns) == sorted(want.columns)
+    key = lambda r: (str(r.doc_id), r.n_words, r.score)
+    got, want = sorted(got.select(*want.columns).collect(), key=key), sorted(want.collect(), key=key)
+    assert len(got) == len(want) == df.count()
+    for g, w in zip(got, want, strict=True):
+        assert (g.doc_id, g.text, g.n_words) == (w.doc_id, w.text, w.n_words)
+        assert (g.target_loss, g.background_loss, g.score) == pytest.approx((w.target_loss, w.background_loss, w.score), abs=1e-9)
+    slim = cross_entropy.difference(df.limit(0), targets, columns=["doc_id"])
+    assert slim.columns == ["doc_id", "n_words", "target_loss", "background_loss", "score"] and slim.count() == 0
+
+
 def test_cross_entropy_has_no_bounded_table(spark):
     n = 1200
     df = docs_of(spark, [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(n)])  # 600,000 words, each once
