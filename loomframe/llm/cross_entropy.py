@@ -46,7 +46,7 @@ from loomframe.session import materialize
 
 DISCOUNT, PRIOR = 0.75, 0.5
 HELD = 1 << 21  # distinct keys that a task counts before it passes them on
-BUCKET = 32 << 20  # bytes of text whose keys a bucket of ``difference`` adds up at once
+BUCKET = 12 << 20  # bytes of text whose keys a bucket of ``difference`` adds up at once
 CHUNK = 16 << 20  # bytes of text that are scored at once; a longer text is a chunk of its own
 TABLE = blank_separated(lower=True)
 FIRST = np.uint64(0x6C62272E07BB0142)  # stands before the first word of a text
@@ -412,10 +412,15 @@ def _added_up(blocks: pa.Table) -> Iterator[pa.RecordBatch]:
     cuts_w, cuts_p = np.cumsum([0, *(len(x[0]) for x in parts)]), np.cumsum([0, *(len(x[2]) for x in parts)])
     words, word_of = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
     word_counts = [np.bincount(word_of, np.concatenate([x[1][k] for x in parts]), len(words)).astype(np.int64) for k in (0, 1)]
-    owners, home = np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])
-    _, one, pair_of = np.unique(owners * STEP + np.concatenate([x[4] for x in parts]), return_index=True, return_inverse=True)
-    pair_counts = [np.bincount(pair_of, np.concatenate([x[5][k] for x in parts]), len(one)).astype(np.int64) for k in (0, 1)]
-    del parts
+    owners, home, after = (np.concatenate([x[k] for x in parts]) for k in (2, 3, 4))
+    counts = [np.concatenate([x[5][k] for x in parts]) for k in (0, 1)]
+    del parts  # the blocks themselves
+    pairs = owners * STEP + after
+    del after
+    _, one, pair_of = np.unique(pairs, return_index=True, return_inverse=True)
+    del pairs
+    pair_counts = [np.bincount(pair_of, c, len(one)).astype(np.int64) for c in counts]
+    del counts
     owners, home = owners[one], home[one]
     each = [pair_counts[0], pair_counts[1], pair_counts[0] > 0, np.ones(len(one), bool)]
     at = np.searchsorted(words, owners[home])
