@@ -458,7 +458,7 @@ def _sums(answers: DataFrame) -> dict[int, np.ndarray]:
 
 
 def difference(
-    docs: DataFrame, targets, text: str = "text", columns: list[str] | None = None, chunk: int = CHUNK, bucket: int = BUCKET
+    docs: DataFrame, targets, text: str = "text", columns: list[str] | None = None, chunk: int = CHUNK // 2, bucket: int = BUCKET
 ) -> DataFrame:
     """Fit on all rows and score them: what ``score(docs, fit(docs, targets))`` gives, with ``columns`` of the input (None: all).
 
@@ -469,7 +469,8 @@ def difference(
     added = {"n_words": T.LongType(), **dict.fromkeys(names, T.DoubleType())}
     kept = [c for c in docs.columns if c not in added and (columns is None or c in columns)]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(k, v) for k, v in added.items()])
-    ids = _ids(docs, targets).withColumn("_target", F.lit(True))
+    # Ids grow with the input: merged at every size, so that small inputs show the plan of large ones.
+    ids = _ids(docs, targets).withColumn("_target", F.lit(True)).hint("merge")
     marked = docs.select(*kept, F.col(text).alias("_text"), F.col("doc_id").cast("bigint").alias("_id")).join(ids, "_id", "left")
     # A kept text is written once, under the name it is scored by.
     stored = [c for c in kept if c != text]
