@@ -8,6 +8,7 @@ a group holding a third of the table still spreads over the cluster.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,13 +35,18 @@ def _plain(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
 
 
 def busy_groups(df: DataFrame, keys: Sequence[str], task_rows: int) -> DataFrame | None:
-    """Groups too large for one task, as a written table (_group); None if there are none.
+    """Groups too large for one task with their rows, as a written table (_group, _n); None if there are none.
 
-    One pass over the key columns tells whether any exist, which is the usual end of it.
+    Keys are counted in one pass, whose outcome is written and read from then on.
     """
     counts = df.groupBy(_group(keys).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
-    busy = counts.filter(F.col("_n") > task_rows).select("_group")
-    return None if busy.isEmpty() else materialize(busy, "busy-groups")
+    busy = materialize(counts.filter(F.col("_n") > task_rows), "busy-groups")
+    return None if busy.isEmpty() else busy
+
+
+def slices_for(busy: DataFrame, task_rows: int) -> int:
+    """Number of ranges for all busy groups: as many as their rows need, at half of what a task should take."""
+    return math.ceil(2 * busy.agg(F.sum("_n")).first()[0] / task_rows)
 
 
 def _apart(df: DataFrame, keys: Sequence[str], busy: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,13 +54,14 @@ def _apart(df: DataFrame, keys: Sequence[str], busy: DataFrame) -> tuple[DataFra
     return marked.join(busy, "_group", "left_anti").select(*df.columns), marked.join(busy, "_group", "left_semi").select(*df.columns)
 
 
-def ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
     """The rows with ``_group`` and ``_slice``: consecutive ranges of group and order, each a part of one shuffle.
 
     A hash of the row parts those that tie; only rows equal in every column stay together. The
-    ranges are written once, so that all later steps see the same ones.
+    ranges are written once, so that all later steps see the same ones. ``slices`` is their number
+    (None: as many as a shuffle has partitions).
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ties = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
     ranged = df.withColumn("_group", _group(keys)).repartitionByRange(slices, F.col("_group").asc(), *_order(order), ties.asc())
     return materialize(ranged.withColumn("_slice", F.spark_partition_id()), "ranges")
@@ -78,7 +85,7 @@ def row_numbers(
     if busy is None:
         return df.withColumn(name, F.row_number().over(_plain(keys, order)).cast("bigint"))
     calm, large = _apart(df, keys, busy)
-    cut = ranges(large, keys, order)
+    cut = ranges(large, keys, order, slices_for(busy, task_rows))
     sizes = cut.groupBy("_group", "_slice").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_group", "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
@@ -119,7 +126,7 @@ def running_before(
     whole = calm.withColumn("_value", value).withColumn(name, running("_value", whole_window)).drop("_value")
     if large is None:
         return whole
-    cut = ranges(large, keys, order).withColumn("_value", value)
+    cut = ranges(large, keys, order, slices_for(busy, task_rows)).withColumn("_value", value)
     if last:
         place = F.struct(*[F.col(o.lstrip("-")) for o in order])
         pick = F.min_by if order[0].startswith("-") else F.max_by

@@ -69,6 +69,18 @@ def test_row_numbers_of_text_with_a_common_beginning(spark):
     assert got == {(k, f"Customer#{i:012d}"): i + 1 for k in range(9) for i in range(4000 if k == 0 else 101)}
 
 
+def test_ranges_follow_the_rows_of_busy_groups(spark):
+    df = spark.range(5000).selectExpr("CASE WHEN id < 4000 THEN 0 ELSE id END AS k", "id % 977 AS v", "id")
+    busy = K.busy_groups(df, ["k"], 100)
+    assert [(r._n,) for r in busy.collect()] == [(4000,)] and K.busy_groups(df, ["k"], 4000) is None
+    n = K.slices_for(busy, 100)
+    assert n == 80 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [r["count"] for r in K.ranges(df.filter("k = 0"), ["k"], ["v", "id"], n).groupBy("_slice").count().collect()]
+    assert len(sizes) > 60 and max(sizes) <= 100
+    got = {r.id: r.n for r in K.row_numbers(df, ["k"], ["v", "id"], "n", task_rows=100).filter("k = 0").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(4000), key=lambda i: (i % 977, i)), 1)}
+
+
 def test_sums_of_doubles_on_both_sides_of_the_switch(spark):
     df = spark.createDataFrame([(i % 2, i, i * 0.25) for i in range(1000)], "k int, t int, v double")
     one, two = (
