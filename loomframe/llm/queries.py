@@ -73,11 +73,12 @@ def list_entries(rows: DataFrame) -> DataFrame:
 
 
 _HOST_SQL = (
-    "lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''))"
+    "lower(regexp_replace(rtrim(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#\\\\]*)', 1), "
+    "'^.*@', ''), ':[0-9]*$', '')), '\\.$', ''))"
 )
 _URL_SQL = f"""
 WITH r AS (SELECT page_id, url, {_HOST_SQL} AS h,
-  {_HOST_SQL} || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS p,
+  {_HOST_SQL} || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#\\\\]*([^?#]*)', 1), '/+$', '') AS p,
   DATE '2024-01-01' + (('0x' || substr(md5('day' || coalesce(url, '')), 1, 3))::INT % 366) AS fetched FROM pages),
 k AS (SELECT DISTINCT CASE WHEN b % 4 = 0 THEN 'host' ELSE 'domain' END AS kind, h AS v, b,
   CASE b % 3 WHEN 0 THEN 'adult' WHEN 1 THEN 'malware' ELSE 'spam' END AS list

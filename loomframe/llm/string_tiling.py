@@ -7,8 +7,9 @@ running Karp-Rabin hashes over shrinking lengths, marked, and the share of the i
 tiles decides. Order does not matter, so reordered passages are caught.
 
 Words are runs of letters, digits and bytes beyond ASCII, in lower case, so punctuation and line
-breaks do not hide a passage. Missing or empty texts match nothing; items shorter than MIN_MATCH
-words have no seed and match nothing. Equal texts get equal verdicts: a text is tiled once, however
+breaks do not hide a passage. Missing or empty texts match nothing. An item of fewer than MIN_MATCH
+words is one seed as a whole; a few words inside a longer text are chance, so it is found in
+texts that consist of the same words. Texts of any length are searched whole. Equal texts get equal verdicts: a text is tiled once, however
 many rows repeat it. Among stretches of equal length the first in the item, then in the text, is
 marked. Extra columns are kept; empty tables give empty results.
 """
@@ -90,7 +91,7 @@ def _seeds(items: DataFrame) -> DataFrame:
         ids, seeds = [], [np.empty(0, np.uint64)]
         for i in range(batch.num_rows):
             own = words[at[i] : at[i + 1]]
-            found = np.unique(windows(own, MIN_MATCH)) if len(own) >= MIN_MATCH else own[:0]
+            found = np.unique(windows(own, MIN_MATCH))
             ids += [i] * len(found)
             seeds.append(found)
         taken = batch.column(0).take(pa.array(ids, pa.int64()))
@@ -115,8 +116,13 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
         all_windows = windows(words, MIN_MATCH) if len(words) >= MIN_MATCH else words[:0]
         spots = np.flatnonzero(passing.value.holds(all_windows))
         first, last = np.searchsorted(spots, at[:-1]), np.searchsorted(spots, np.maximum(at[1:] - MIN_MATCH + 1, at[:-1]))
-        rows = [i for i in range(batch.num_rows) if last[i] > first[i]]
+        rows = np.flatnonzero(last > first).tolist()
         found = [np.unique(all_windows[spots[first[i] : last[i]]]).view(np.int64) for i in rows]
+        short = np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < MIN_MATCH))
+        whole = np.array([windows(words[at[i] : at[i + 1]], MIN_MATCH)[0] for i in short], np.uint64)
+        hit = passing.value.holds(whole)
+        rows += short[hit].tolist()
+        found += list(whole[hit].view(np.int64)[:, None])
         texts = batch.column(0).take(pa.array(rows, pa.int64()))
         return pa.RecordBatch.from_arrays([texts, pa.array(found, pa.list_(pa.int64()))], names=["text", "seeds"])
 
@@ -148,7 +154,8 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> Data
         wanted, i_at = hash_words(batch.column(4), TABLE)
         counts, covered = [], []
         for k in range(batch.num_rows):
-            tiles = tile(wanted[i_at[k] : i_at[k + 1]], texts[t_at[k] : t_at[k + 1]])
+            item = wanted[i_at[k] : i_at[k + 1]]
+            tiles = tile(item, texts[t_at[k] : t_at[k + 1]], min(MIN_MATCH, len(item)))
             counts.append(len(tiles))
             covered.append(sum(n for n, _, _ in tiles))
         made = [pa.array(counts, pa.int64()), pa.array(covered, pa.int64())]

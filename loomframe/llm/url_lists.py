@@ -7,7 +7,8 @@ all captures costs one pair per day, and no window holds more rows than a key ha
 
 Kinds: ``domain`` matches a host and its subdomains, ``host`` the host alone, ``url`` the host and
 path without query, fragment and closing slash. An entry counts from its day on; an entry added and
-removed on one day is removed; repeated entries change nothing. URLs without a host, missing URLs
+removed on one day is removed; repeated entries change nothing. Hosts of any length are judged: of
+a host only those endings are looked up that have as many labels as some listed domain. URLs without a host, missing URLs
 and captures without a day match nothing. Repeated captures each get their row; extra columns are
 kept, those named like an output column are replaced by it. Empty lists reject nothing.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LONGEST_HOST = 253  # characters; a longer one is no host name
+from loomframe.session import materialize
 
 
 def host_of(url: Column) -> Column:
@@ -25,7 +26,7 @@ def host_of(url: Column) -> Column:
     place = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)", 1)
     bare = F.rtrim(F.regexp_replace(F.regexp_replace(place, r"^.*@", ""), r":[0-9]*$", ""))
     host = F.lower(F.regexp_replace(bare, r"\.$", ""))
-    return F.when((host != "") & (F.length(host) <= LONGEST_HOST), host)
+    return F.when(host != "", host)
 
 
 def page_of(url: Column) -> Column:
@@ -60,36 +61,36 @@ def active_on(probes: DataFrame, spans: DataFrame) -> DataFrame:
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
     """The captures with ``host``, ``lists`` (active lists that name the URL, sorted) and ``rejected``."""
-    spans = intervals(entries)
+    spans = materialize(intervals(entries), "url-spans")
     made = ("host", "lists", "rejected")
     rows = captures.select(*[c for c in captures.columns if c not in made]).withColumns({
         "host": host_of(F.col(url)), "_page": page_of(F.col(url)), "_day": F.col(day),
     })
-    hosts = rows.filter(F.col("host").isNotNull() & F.col("_day").isNotNull()).select("host", F.col("_day").alias("day")).distinct()
+    known = F.col("_page").isNotNull() & F.col("_day").isNotNull()
+    asked = materialize(rows.filter(known).select("host", F.col("_page").alias("page"), F.col("_day").alias("day")).distinct(), "url-asked")
+    hosts = asked.select("host", "day").distinct()
     labels = F.split("host", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # Distinct label counts of listed domains: no more than the longest of them has labels.
+    depths = spans.filter("kind = 'domain'").agg(F.collect_set(F.size(F.split("value", r"\."))).alias("depths"))
+    fitting = F.filter(F.col("depths"), lambda n: n <= F.size(labels))
+    tails = F.transform(fitting, lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     keys = F.concat(
         F.transform(tails, lambda t: F.struct(F.lit("domain").alias("kind"), t.alias("value"))),
         F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("value"))),
     )
-    host_keys = hosts.select("host", "day", F.explode(keys).alias("k")).select("host", "day", "k.kind", "k.value")
-    pages = rows.filter(F.col("_page").isNotNull() & F.col("_day").isNotNull()).select(
-        F.lit("url").alias("kind"), F.col("_page").alias("value"), F.col("_day").alias("day")
-    )
-    probes = host_keys.select("kind", "value", "day").unionByName(pages).distinct()
-    held = active_on(probes, spans)
-    by_host = (
-        host_keys.join(held, ["kind", "value", "day"])
-        .groupBy("host", "day")
-        .agg(F.array_distinct(F.flatten(F.collect_list("lists"))).alias("_by_host"))
-        .withColumnsRenamed({"host": "_h", "day": "_d"})
-    )
-    by_page = held.filter(F.col("kind") == "url").select(
-        F.col("value").alias("_p"), F.col("day").alias("_e"), F.col("lists").alias("_by_page")
-    )
-    out = rows.join(by_host, (F.col("host") == F.col("_h")) & (F.col("_day") == F.col("_d")), "left")
-    out = out.join(by_page, (F.col("_page") == F.col("_p")) & (F.col("_day") == F.col("_e")), "left")
+    host_keys = hosts.withColumn("depths", depths.scalar()).select("host", "day", F.explode(keys).alias("k")).select("host", "day", "k.kind", "k.value")
+    pages = asked.select(F.lit("url").alias("kind"), F.col("page").alias("value"), "day").distinct()
+    probes = host_keys.select("kind", "value", "day").distinct().unionByName(pages)
+    held = materialize(active_on(probes, spans), "url-held")
+    by_host = host_keys.join(held, ["kind", "value", "day"]).groupBy("host", "day").agg(F.flatten(F.collect_list("lists")).alias("by_host"))
+    by_page = held.filter("kind = 'url'").select(F.col("value").alias("page"), "day", F.col("lists").alias("by_page"))
     none = F.array().cast("array<string>")
-    lists = F.array_sort(F.array_union(F.coalesce("_by_host", none), F.coalesce("_by_page", none)))
-    out = out.withColumn("lists", lists).withColumn("rejected", F.size("lists") > 0)
-    return out.drop("_h", "_d", "_by_host", "_p", "_e", "_by_page", "_page", "_day")
+    lists = F.array_sort(F.array_union(F.coalesce("by_host", none), F.coalesce("by_page", none)))
+    answers = asked.join(by_host, ["host", "day"], "left").join(by_page, ["page", "day"], "left")
+    answers = answers.filter("by_host IS NOT NULL OR by_page IS NOT NULL").select(
+        F.col("page").alias("_p"), F.col("day").alias("_d"), lists.alias("lists")
+    )
+    # A page names its host, so (page, day) has one answer and captures meet it in one join.
+    out = rows.join(answers, (F.col("_page") == F.col("_p")) & (F.col("_day") == F.col("_d")), "left")
+    out = out.withColumn("lists", F.coalesce("lists", none)).withColumn("rejected", F.size("lists") > 0)
+    return out.drop("_p", "_d", "_page", "_day")

@@ -107,11 +107,12 @@ def test_url_lists_as_of(spark):
         (2, "http://bad.org", date(2024, 1, 10)), (3, "https://u@bad.org/", date(2024, 3, 1)), (4, "http://notbad.org", date(2024, 3, 1)),
         (5, "http://x.net/", date(2024, 1, 2)), (6, "http://ok.com/a/?q#f", date(2024, 1, 3)), (7, "http://ok.com/a", date(2024, 1, 2)),
         (8, None, date(2024, 1, 2)), (9, "", date(2024, 1, 2)), (10, "http://bad.org", None), (1, "http://bad.org", date(2024, 1, 9)),
-        (11, "http://" + "a." * 200_000, date(2024, 1, 9)),
+        (11, "http://" + "a." * 200_000, date(2024, 1, 9)), (12, "http://" + "a." * 200_000 + "bad.org/x", date(2024, 1, 9)),
+        (13, "http://bad.org\\\\ok.com/a", date(2024, 1, 9)), (14, "http://www.bad.org./", date(2024, 1, 9)), (15, "http://org/", date(2024, 1, 9)),
     ]
     df = spark.createDataFrame(captures, "page_id int, url string, day date").withColumn("lists", F.lit("old"))
     found = sorted((r.page_id, tuple(r.lists), r.rejected) for r in url_lists.filter_urls(df, listed).collect())
-    hit = {0: ("spam",), 1: ("spam",), 3: ("spam",), 6: ("page",)}
+    hit = {0: ("spam",), 1: ("spam",), 3: ("spam",), 6: ("page",), 12: ("spam",), 13: ("spam",), 14: ("spam",)}
     assert found == sorted((c[0], hit.get(c[0], ()), c[0] in hit) for c in captures)
     assert url_lists.filter_urls(df, listed.limit(0)).filter("rejected").count() == 0
     assert url_lists.filter_urls(df.limit(0), listed).count() == 0
@@ -417,6 +418,13 @@ def test_leaks(spark):
     assert string_tiling.drop_contaminated(df, items.limit(0)).count() == len(texts)
 
 
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([(0, "Two plus two"), (1, "yes"), (2, "one two three four"), (3, "")], "item_id int, text string")
+    texts = ["two, plus TWO!", "two plus two is four", "yes", "Yes.", "no", "two three four", "one two three four", "plus two two", "", None]
+    found = string_tiling.contaminated(docs_of(spark, texts), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.tiles, r.coverage) for r in found) == [(0, 0, 1, 1.0), (2, 1, 1, 1.0), (3, 1, 1, 1.0), (6, 2, 1, 1.0)]
+
+
 # --- 7
 
 
