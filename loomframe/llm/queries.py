@@ -171,10 +171,10 @@ g AS (SELECT *, ({MIX_SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(c
 t AS (SELECT source, source_size, least(cap, w * (SELECT max(rate) FROM g)) AS target FROM g),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 f AS (SELECT d.doc_id, d.size, d.u, e.*, target - whole * source_size AS extra,
-  sum(d.size) OVER (PARTITION BY d.source ORDER BY u) AS upto FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source, u) AS unit FROM f)
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN extra > 0 AND (upto < extra OR
-  (upto - unit < extra AND upto - extra <= extra - (upto - unit))) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c"""
+  (upto - size < extra AND upto - extra <= extra - (upto - size))) THEN 1 ELSE 0 END))::BIGINT AS taken FROM f"""
 
 
 @query("op8_mixing", _MIX_SQL)

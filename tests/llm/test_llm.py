@@ -501,6 +501,24 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.take(df.limit(0), mixing.cycled_weights(df.limit(0), (1.0,)), 1.5, 2, 7).count() == 0
 
 
+@pytest.mark.parametrize("copies", [3, mixing.COPIES])
+def test_equal_rows_are_parted_at_the_cut(spark, monkeypatch, copies):
+    monkeypatch.setattr(mixing, "COPIES", copies)
+    rows = [(1, "a", "w " * 10, {"k": "v"})] * 400 + [(i, "b", "w " * 5, None) for i in range(300)] + [(2, None, "x y z", None)] * 7
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, tags map<string, string>")
+    df = df.withColumn("seen", F.when(F.col("source").isNull(), F.monotonically_increasing_id()).otherwise(0))
+    rows_of = mixing.take(df, mixing.cycled_weights(df, (5.0, 2.0, 1.0)), 0.5, 2, 7)
+    assert [c for c in rows_of.columns if c in df.columns] == df.columns
+    mixed = rows_of.collect()
+    assert len(mixed) == len(rows) and sum(r.tags == {"k": "v"} for r in mixed) == 400
+    for source, size in (("a", 10), ("b", 5), (None, 3)):
+        own = [r for r in mixed if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= size / 2
+        assert all(r.size == size and r.taken <= 2 * size for r in own)
+    again = mixing.take(df, mixing.cycled_weights(df, (5.0, 2.0, 1.0)), 0.5, 2, 7).collect()
+    assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in mixed)
+
+
 # --- 9
 
 
