@@ -207,14 +207,21 @@ def overlay_links(edges: DataFrame, edits: DataFrame) -> DataFrame:
     return edges.select(*columns).unionByName(added).distinct().join(removed, columns, "left_anti")
 
 
-def reverse_links(
-    parents: DataFrame, key: str, children: DataFrame, child_key: str, foreign_key: str, child_class: str, chunk: int = 10_000
+def reverse_link_rows(
+    parents: DataFrame, key: str, children: DataFrame, child_key: str, foreign_key: str, child_class: str
 ) -> DataFrame:
-    """Per parent the sorted references of its children, in lists of bounded size."""
+    """The references of the children of the parents, one row each: (parent key, ``ref``), distinct."""
     refs = children.select(
         F.col(foreign_key).alias(key), F.concat(F.lit(f"{child_class}/"), F.col(child_key).cast("string")).alias("ref")
     ).dropna()
-    known = refs.join(parents.select(key), key, "left_semi")
+    return refs.join(parents.select(key), key, "left_semi").distinct()
+
+
+def reverse_links(
+    parents: DataFrame, key: str, children: DataFrame, child_key: str, foreign_key: str, child_class: str, chunk: int = 10_000
+) -> DataFrame:
+    """Per parent the sorted references of its children, in lists of bounded size."""
+    known = reverse_link_rows(parents, key, children, child_key, foreign_key, child_class)
     return chunked_lists(known, [key], "ref", "refs", chunk)
 
 

@@ -170,6 +170,19 @@ def search_around(
     return targets.join(followed.select(F.col(link_target).alias(target_key)), target_key, "left_semi")
 
 
+def link_rows(
+    sources: DataFrame, links: DataFrame, source_key: str, link_source: str, link_target: str, link: str, target_type: str
+) -> DataFrame:
+    """The links of the source rows, one row each: (source key, ``link``, ``target_type``, ``target``), distinct.
+
+    Rows, not lists: a source with any number of links stays plain to join with. Links without a
+    target are none; sources without links have no row.
+    """
+    pairs = links.select(F.col(link_source).alias(source_key), F.col(link_target).alias("target")).dropna()
+    followed = pairs.join(sources.select(source_key), source_key, "left_semi").distinct()
+    return followed.select(source_key, F.lit(link).alias("link"), F.lit(target_type).alias("target_type"), "target")
+
+
 def load_links(
     sources: DataFrame, links: DataFrame, source_key: str, link_source: str, link_target: str, chunk: int = 10_000
 ) -> DataFrame:

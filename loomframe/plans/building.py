@@ -173,6 +173,17 @@ def overlay_links(spark, d):
     return N.overlay_links(edges, edits)
 
 
+@query(
+    "reverse_link_rows",
+    "SELECT DISTINCT o_custkey AS c_custkey, 'Order/' || o_orderkey AS ref FROM orders "
+    "WHERE o_custkey IN (SELECT c_custkey FROM customer) AND o_orderkey IS NOT NULL",
+)
+def reverse_link_rows(spark, d):
+    return N.reverse_link_rows(
+        table(spark, d, "customer"), "c_custkey", table(spark, d, "orders"), "o_orderkey", "o_custkey", "Order"
+    )
+
+
 @query(
     "reverse_links",
     """

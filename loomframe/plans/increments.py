@@ -93,6 +93,28 @@ def run_changelog(spark, d):
     return I.run_changelog(I.snapshot_delta(*_snapshots(spark, d), ["c_custkey"]))
 
 
+# What a run that starts from day 10 finds of each type's share of the events.
+_RUN = (
+    "CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS change_type, ts "
+    "FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00'"
+)
+
+
+@query(
+    "run_changelog_watermarks",
+    "SELECT count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'modified') AS modified, "
+    "count(*) FILTER (change_type = 'deleted') AS deleted, count(*) AS total, '2024-01-10 00:00:00' AS watermark_before, "
+    f"strftime(greatest(max(ts), TIMESTAMP '2024-01-10 00:00:00'), '%Y-%m-%d %H:%M:%S') AS watermark_after FROM (SELECT {_RUN})",
+)
+def run_changelog_watermarks(spark, d):
+    start = datetime.datetime(2024, 1, 10)
+    kind = F.expr("CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'deleted' ELSE 'modified' END")
+    delta = I.watermark_delta(table(spark, d, "events"), "ts", F.lit(start).cast("timestamp_ntz")).withColumn("change_type", kind)
+    run = I.run_changelog(delta, watermark="ts", before=start)
+    marks = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("watermark_before", "watermark_after")}
+    return run.withColumns(marks)
+
+
 @query("apply_changes", _NEW)
 def apply_changes(spark, d):
     old, new = _snapshots(spark, d)

@@ -284,6 +284,18 @@ def search_around(spark, d):
     return found.select("p_partkey", "p_name")
 
 
+@query(
+    "link_rows",
+    """
+    SELECT DISTINCT l_orderkey AS o_orderkey, 'contains' AS link, 'Part' AS target_type, l_partkey AS target
+    FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AND l_partkey IS NOT NULL
+    """,
+)
+def link_rows(spark, d):
+    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    return J.link_rows(urgent, table(spark, d, "lineitem"), "o_orderkey", "l_orderkey", "l_partkey", "contains", "Part")
+
+
 @query(
     "load_links",
     """

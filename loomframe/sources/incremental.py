@@ -90,10 +90,16 @@ def stale_rows(existing: DataFrame, current: DataFrame, keys: Sequence[str]) ->
     return existing.join(current.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def run_changelog(delta: DataFrame, kind: str = "change_type") -> DataFrame:
-    """(added, modified, deleted, total) of one run."""
-    names = ("added", "modified", "deleted")
-    return delta.agg(
-        *[F.count_if(F.col(kind) == n).alias(n) for n in names], F.count_if(F.col(kind).isin(*names)).alias("total")
-    )
+def run_changelog(delta: DataFrame, kind: str = "change_type", watermark: str | None = None, before: Any = None) -> DataFrame:
+    """(added, modified, deleted, total) of one run, one row also for an empty delta.
 
+    With ``watermark``, a column of the delta, also ``watermark_before`` (the one the run started
+    from, None for a first run) and ``watermark_after``: the greatest value seen, never below the one before.
+    """
+    names = ("added", "modified", "deleted")
+    counts = [F.count_if(F.col(kind) == n).alias(n) for n in names]
+    counts.append(F.count_if(F.col(kind).isin(*names)).alias("total"))
+    if watermark is None:
+        return delta.agg(*counts)
+    start = F.lit(before).cast(delta.schema[watermark].dataType)
+    return delta.agg(*counts, start.alias("watermark_before"), F.greatest(F.max(watermark), start).alias("watermark_after"))

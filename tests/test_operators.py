@@ -24,6 +24,7 @@ from loomframe.operators import windows as W
 from loomframe.operators import writeback as WB
 from loomframe.operators.asof import asof_join
 from loomframe.operators.search import apply_policy
+from loomframe.sources import incremental as I
 from loomframe.streaming.streams import classify_events
 
 
@@ -175,6 +176,29 @@ def test_chunked_lists_split_large_keys(spark):
     assert [(r.chunk, r.vs) for r in lists if r.k == 2] == [(0, [5])]
 
 
+def test_link_rows_have_no_size_switch(spark):
+    links = spark.createDataFrame([(1, i) for i in range(20_001)] + [(2, 5), (2, 5), (3, None), (9, 1)], "src int, dst int")
+    sources = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id int, name string")
+    rows = J.link_rows(sources, links, "id", "src", "dst", "knows", "Person")
+    assert rows.columns == ["id", "link", "target_type", "target"]
+    assert sorted((r.id, r.target) for r in rows.collect()) == [(1, i) for i in range(20_001)] + [(2, 5)]
+    refs = N.reverse_link_rows(sources, "id", links, "dst", "src", "Person")
+    assert refs.count() == 20_002 and refs.filter("id = 2").first().ref == "Person/5"
+    assert J.link_rows(sources.limit(0), links, "id", "src", "dst", "knows", "Person").count() == 0
+
+
+def test_run_changelog_keeps_the_watermark(spark):
+    delta = spark.createDataFrame([("added", 5), ("deleted", 3), ("other", None)], "change_type string, at int")
+
+    def run(rows, before):
+        return tuple(I.run_changelog(rows, watermark="at", before=before).first())
+
+    assert run(delta, None) == (1, 0, 1, 2, None, 5)
+    assert run(delta, 9) == (1, 0, 1, 2, 9, 9)
+    assert run(delta.limit(0), 4) == (0, 0, 0, 0, 4, 4)
+    assert run(delta.limit(0), None) == (0, 0, 0, 0, None, None)
+
+
 def asof_by_hand(left, right, reach, direction):
     """(left id → right id) by looking at every pair."""
     out = {}
