@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomframe.operators import skew
@@ -86,3 +87,62 @@ def test_events_in_order_across_restarts(spark, tmp_path):
         (100_000, "z"): "processed", (100_001, "z"): "duplicate", (100_002, "e1"): "stale", (100_003, "f2"): "processed",
     }
     assert sorted(s for _, i, s in got if i == "e4") == ["duplicate", "processed"]
+
+
+class FakeState:
+    """State of one aggregate and its timers, counting the calls."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, set(), 0
+
+    def _called(self, found=None):
+        self.calls += 1
+        return found
+
+    def getValueState(self, *_):
+        return type("Value", (), {"get": lambda _: self._called(self.value), "update": lambda _, v: self._called(setattr(self, "value", v))})()
+
+    def getMapState(self, *_):
+        methods = {
+            "containsKey": lambda _, k: self._called(k in self.map),
+            "updateValue": lambda _, k, v: self._called(self.map.__setitem__(k, v)),
+            "clear": lambda _: self._called(self.map.clear()),
+        }
+        return type("Map", (), methods)()
+
+    def registerTimer(self, at):
+        self._called(self.timers.add(at))
+
+
+@pytest.mark.parametrize("few", [3, 1000])
+def test_keyed_state_in_few_calls(few):
+    """Whether ids stay in the value or move to the map, rows are judged alike; an aggregate of few ids costs three calls a micro-batch."""
+    draw, state = random.Random(few), FakeState()
+    order = K.EventOrder(["id", "seq", "at", "status"], "id", "seq", "at", keep_ms=1000)
+    order.FEW, order.SHARE = few, 0
+    order.init(state)
+    ids, last, forget, moved, made = set(), None, None, False, Row("id", "seq", "at")
+    for n in range(60):
+        start = n * 300_000 + (n // 20) * 5_000_000  # microseconds; two long gaps
+        rows = [made(draw.choice("abcdefghijkl"), draw.randrange(200), start + draw.randrange(200_000)) for _ in range(draw.randint(1, 4))]
+        before, expected = state.calls, []
+        for r in sorted(rows, key=lambda r: (r.at, r.seq)):
+            status = "duplicate" if r.id in ids else "stale" if last is not None and r.seq <= last else "processed"
+            ids.add(r.id)
+            last = r.seq if status == "processed" else last
+            expected.append((*r, status))
+        forget = max(r.at for r in rows) // 1000 + 1000
+        assert [tuple(r) for r in order.handleInputRows(("x",), iter(rows), None)] == expected
+        assert few == 3 or state.calls - before <= 3
+        moved |= bool(state.map)
+        watermark = start // 1000 + (5_500 if n % 20 == 19 else 0)
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda _: watermark})()
+        while due := {t for t in state.timers if t <= watermark}:
+            state.timers -= due
+            assert list(order.handleExpiredTimer(("x",), clock, None)) == []
+        if forget <= watermark:
+            ids = set()
+            assert not state.timers and not state.map
+        else:
+            assert len(state.timers) == 1
+    assert moved == (few == 3)
