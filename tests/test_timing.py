@@ -146,3 +146,15 @@ def test_keyed_state_in_few_calls(few):
         else:
             assert len(state.timers) == 1
     assert moved == (few == 3)
+
+
+def test_events_of_no_aggregate_are_one_of_their_own(spark, tmp_path):
+    rows = [(f"e{n}", None if n % 3 == 0 else f"a{n % 5}", n % 7, DAY + timedelta(seconds=n)) for n in range(60)]
+    spark.createDataFrame(rows, "id string, agg string, seq long, ts timestamp").write.parquet(f"{tmp_path}/in/n=0")
+    stream = stream_of(spark, tmp_path / "in", "id string, agg string, seq long, ts timestamp")
+    K.run_once(K.classify_stream(stream, "id", "agg", "seq", "ts"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    last, expected = {}, {}
+    for i, agg, seq, _ in rows:
+        expected[i] = "stale" if seq <= last.get(agg, -1) else "processed"
+        last[agg] = max(seq, last.get(agg, -1))
+    assert {r.id: r.status for r in spark.read.parquet(f"{tmp_path}/out").collect()} == expected
